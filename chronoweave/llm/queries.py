@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from .token_ids import read_id_files, write_id_files
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", F.col("lines_in").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_id_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return read_id_files(files)
+
+
 LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, text FROM {{docs}}),
 l AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
@@ -33,5 +41,6 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
 }
