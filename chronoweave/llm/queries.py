@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import contamination
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .token_ids import read_id_files, write_id_files
 
@@ -19,6 +20,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", F.col("lines_in").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_id_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
     return read_id_files(files)
@@ -41,6 +46,7 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
 }
