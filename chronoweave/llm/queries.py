@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import contamination
+from .jaccard_join import near_duplicates
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .token_ids import read_id_files, write_id_files
 
@@ -20,6 +21,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", F.col("lines_in").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +51,7 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
