@@ -11,6 +11,7 @@ from .common import read_table
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from .ogg import read_media, store_texts
 from .token_ids import read_id_files, write_id_files
 
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +22,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", F.col("lines_in").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"))
 
 
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_media(store_texts(read_table(spark, sf_dir, "documents")))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ogg": op1_ogg,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
     "op6_token_ids": op6_token_ids,
