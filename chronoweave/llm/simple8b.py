@@ -40,19 +40,20 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     full = np.zeros(blocks * block, np.uint64)
     full[:n] = v
-    width = _widths(full).reshape(blocks, block)
-    at = np.arange(block, dtype=np.int16 if block < 1 << 15 else np.int64)
-    pick = np.full((blocks, block), ESCAPE, np.uint8)
-    low = int(width.max(axis=None))
+    width = _widths(full)
+    flat, most = np.full(blocks * block, ESCAPE, np.uint8), int(width.max())
     for s in range(14, 0, -1):  # the largest count that fits wins
-        wide = width > BITS[s]
-        if s < 14 and BITS[s] < low and wide.all():
+        if most <= BITS[s]:
+            flat[:] = s
+            continue
+        fits = np.flatnonzero(width <= BITS[s])
+        if not len(fits):
             break
-        stop = np.minimum.accumulate(np.where(wide, at, at.dtype.type(block))[:, ::-1], axis=1)[:, ::-1]
-        room = stop - at
-        pick[(room >= min(COUNTS[s], block)) | ((stop == block) & (room > 0) & (room < COUNTS[s]))] = s
+        cut = np.flatnonzero((np.diff(fits) != 1) | (fits[1:] % block == 0))
+        last = np.append(fits[cut], fits[-1]) + 1
+        stop = np.repeat(last, np.diff(np.concatenate([[-1], cut, [len(fits) - 1]])))
+        flat[fits[(stop - fits >= COUNTS[s]) | (stop % block == 0)]] = s
     # all blocks step from word to word together
-    flat = pick.ravel()
     base, pos = np.arange(blocks, dtype=np.int64) * block, np.zeros(blocks, np.int64)
     starts, sels = [], []
     live = np.arange(blocks)

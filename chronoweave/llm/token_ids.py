@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import written
+from .common import small_batches, written
 
-END_ID, FILE_IDS, CACHE = 2, 1 << 21, 400_000
+END_ID, FILE_IDS, CACHE, MARK, SMALL_ROWS = 2, 1 << 21, 600_000, "\x00", 1_000_000
 
 
 class PieceCache(dict):
@@ -30,17 +30,43 @@ class PieceCache(dict):
 
         self.library = Tokenizer.from_file(path)
         self[""] = b""
+        self.mark = self._plain(MARK)
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, parts: set[str]) -> None:
-        new = list(parts.difference(self.keys()))
+        """Encode what is new, many pieces in one text with a mark between them, and cut its ids at the marks."""
+        new = [k for k in parts if k not in self]
         if len(self) + len(new) > CACHE:
             self.clear()
             self[""] = b""
             new = list(parts)
+        for k in [k for k in new if MARK in k]:
+            self[k] = self._plain(k).tobytes()
+        new = [k for k in new if MARK not in k]
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
-            for k, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[k] = np.array(e.ids, "<u4").tobytes()
+            ids = self._plain(f" {MARK} ".join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) if len(self.mark) == 1 else []
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), 0
+                for k, e in zip(part, (4 * ends).tolist(), strict=True):
+                    self[k] = raw[at:e]
+                    at = e + 4
+            else:  # a vocabulary in which the mark is no token of its own
+                for k in part:
+                    self[k] = self._plain(k).tobytes()
+
+
+_CACHES: dict[str, PieceCache] = {}
+
+
+def cache_of(path: str) -> PieceCache:
+    """One cache for each worker process."""
+    if path not in _CACHES:
+        _CACHES[path] = PieceCache(path)
+    return _CACHES[path]
 
 
 def encode_texts(cache: PieceCache, texts: list[str], end: int = END_ID) -> list[bytes]:
@@ -65,7 +91,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, k = PieceCache(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, k = cache_of(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         owners: list[int] = []
         held = 0
@@ -90,6 +116,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
         if ids:
             yield flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x")).repartitionByRange("d").sortWithinPartitions("d", "x")
     return written(rows.mapInArrow(run, "file_no long, data binary"), "id-files")
 
@@ -115,6 +142,6 @@ def read_id_files(files: DataFrame) -> DataFrame:
                 )
 
     n = files.mapInArrow(totals, "file_no long, n long")
-    # one row per file
-    start = n.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base"))
-    return files.join(start, "file_no").select("file_no", "data", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row for each file of FILE_IDS ids or more
+    start = written(n.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base")), "file-starts")
+    return files.join(F.broadcast(start) if start.count() <= SMALL_ROWS else start, "file_no").select("file_no", "data", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
