@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chains, digest, format_trees
 from .common import read_table
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
@@ -39,6 +40,13 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_id_files(files)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return digest(format_trees(chains(rows.union(more))))
+
+
 LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, text FROM {{docs}}),
 l AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
@@ -50,7 +58,21 @@ m AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (f.bare IS NOT NULL) AS n
       FROM b LEFT JOIN f ON b.host = f.host AND b.bare = f.bare GROUP BY rid)
 """
 
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(9243), chr(9243) || '0'), '(\|)(>)', '\1' || chr(9243) || '1\2', 'g'),
+  '(<)(/?s>|</?SYS>>|\|)', '\1' || chr(9243) || '1\2', 'g'), '(\[)(/?INST\]|/?SYS\])', '\1' || chr(9243) || '1\2', 'g') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(esc) + 10) AS BIGINT) AS formatted_chars
+FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id
+"""
+
 SQL: dict[str, str] = {
+    "op8_chat": CHAT_SQL,
     "op7_line_dedup": LINE_DEDUP_SQL.format(docs="documents")
     + "SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM d LEFT JOIN m USING (rid)",
 }
@@ -61,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
+    "op8_chat": op8_chat,
 }
