@@ -61,6 +61,12 @@ def discard(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: fewer rows per Arrow batch than Spark's default, so a batch stays small in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import GOLD, chunks, mix, word_hashes
 
 MASKS = ("110110011", "101110101", "111001011", "1101010011")
@@ -116,6 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     to the executors and joined to all documents, so what is broadcast is bounded.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x"))
+    small_batches(docs.sparkSession)
     spark, out = docs.sparkSession, None
     for index in _indexes(benchmark, text, item_id):
         shared = spark.sparkContext.broadcast(index)
@@ -136,6 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", cover: float = COVER, least: int = MATCHES) -> DataFrame:
     """`docs` without the rows that overlap an item as `contamination` has it; no shuffle. Null texts stay."""
+    small_batches(docs.sparkSession)
     spark, at = docs.sparkSession, docs.columns.index(text)
     for index in _indexes(benchmark, text, item_id):
         shared = spark.sparkContext.broadcast(index)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, written
+from .common import connected_components, discard, small_batches, written
 from .words import chunks, mix, shingles, word_hashes
 
 NGRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one document, of which the greatest text counts; a null doc_id gives one row (null, null, 0)
     for each such row. An empty table gives none. Only the two columns named are read.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = rows.where("doc_id is not null")
     signed = written(known.mapInArrow(_sign, SIGNED), "signed")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CONTINUED, FIRST, LAST = 1, 2, 4
 FRAME, RATE, PAGE_PACKETS = 576, 8000, 85
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -196,6 +198,7 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     yield pa.RecordBatch.from_arrays([ids.slice(a, len(out)), pa.array(out, pa.binary())], ["doc_id", "media"])
                     a, out, held = i + 1, [], 0
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("x")).mapInArrow(run, "doc_id long, media binary")
 
 

@@ -14,7 +14,7 @@ _WORD[0xC2] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS = {}
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
