@@ -11,6 +11,7 @@ from .chat import chains, digest, format_trees
 from .common import read_table
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
+from .langid import fit_documents, predict
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .ogg import read_media, store_texts
 from .token_ids import read_id_files, write_id_files
@@ -47,6 +48,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_trees(chains(rows.union(more))))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = predict(docs.select("doc_id", "text"), fit_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, text FROM {{docs}}),
 l AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
@@ -84,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat": op8_chat,
+    "op9_langid": op9_langid,
 }
