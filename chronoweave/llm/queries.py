@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chains, digest, format_trees
 from .common import read_table
 from .decontaminate import contamination
+from .html_text import extract
 from .jaccard_join import near_duplicates
 from .langid import fit_documents, predict
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
@@ -55,6 +56,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, text FROM {{docs}}),
 l AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
+    "op10_html": op10_html,
 }
