@@ -16,6 +16,7 @@ from .langid import fit_documents, predict
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .ogg import read_media, store_texts
 from .token_ids import read_id_files, write_id_files
+from .wfst import encode_documents
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -37,6 +38,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_id_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
     return read_id_files(files)
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat": op8_chat,
