@@ -15,6 +15,7 @@ from .jaccard_join import near_duplicates
 from .langid import fit_documents, predict
 from .line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from .ogg import read_media, store_texts
+from .suffix_dedup import remove_repeats
 from .token_ids import read_id_files, write_id_files
 from .wfst import encode_documents
 
@@ -38,6 +39,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_ids": op6_token_ids,
     "op7_line_dedup": op7_line_dedup,
