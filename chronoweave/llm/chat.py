@@ -71,23 +71,24 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     m = written(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     up = m.join(m.select(F.col("tree"), F.col("node").alias("parent"), F.lit(True).alias("known")), ["tree", "parent"], "left")
     up = written(up.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")), "up0")
-    hops = [up]
-    while True:
-        far = hops[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        nxt = hops[-1].join(far, ["tree", "up"], "left")
-        nxt = nxt.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+    # messages with a message 2^k above them go on; the others are done
+    hops, done = [up.where("up is not null")], up.where("up is null")
+    while not hops[-1].isEmpty() and len(hops) <= 40:  # what is left after 2^40 steps is a circle
+        both = done.unionByName(hops[-1])
+        far = both.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        nxt = hops[-1].join(far, ["tree", "up"])
+        nxt = nxt.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
         nxt = written(nxt, f"up{len(hops)}")
-        if nxt.where("up is not null").isEmpty() or len(hops) > 40:  # what is left after 2^40 steps is a circle
-            break
-        hops.append(nxt)
-    whole = nxt.where("up is null")
-    parents = hops[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+        hops.append(nxt.where("up is not null"))
+        done = done.unionByName(nxt.where("up is null"))
+    whole = done
+    parents = hops[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = whole.join(parents, key, "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("node"))
     best = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= branches)
     out = written(best.select("tree", F.col("node").alias("leaf"), "path", "node"), "on-path0")
     for k, step in enumerate(reversed(hops)):
-        more = out.join(step.where("up is not null").select("tree", "node", "up"), key).select("tree", "leaf", "path", F.col("up").alias("node"))
+        more = out.join(step.select("tree", "node", "up"), key).select("tree", "leaf", "path", F.col("up").alias("node"))
         new = written(out.union(more), f"on-path{k + 1}")
         discard(out)
         out = new

@@ -28,10 +28,10 @@ def test_trees(spark):
 
 
 def test_long_chain(spark):
-    rows = [(4, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(700)] + [(5, 1, "user", "b"), (5, 1, "user", "a"), (5, 1, "assistant", None)]
+    rows = [(4, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(130)] + [(5, 1, "user", "b"), (5, 1, "user", "a"), (5, 1, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digest(chat.format_trees(chat.chains(df))).collect()}
-    told = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[:700])
-    loss = "".join(t for _, _, r, t in rows[:700] if r == "assistant")
-    assert (got[4].n_turns, got[4].turns_sha256, got[4].loss_chars, got[4].loss_sha256) == (700, hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    told = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[:130])
+    loss = "".join(t for _, _, r, t in rows[:130] if r == "assistant")
+    assert (got[4].n_turns, got[4].turns_sha256, got[4].loss_chars, got[4].loss_sha256) == (130, hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[5].turns_sha256 == hashlib.sha256(b"assistant\n\nuser\na\nuser\nb\n").hexdigest()

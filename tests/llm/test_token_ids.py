@@ -23,7 +23,7 @@ def test_file_blocks():
     data = simple8b.pack_file(v, np.array([5]), np.array([10_000]))
     ids, docs, counts = simple8b.unpack_file(data)
     assert (ids == v).all() and docs.tolist() == [5] and counts.tolist() == [10_000]
-    assert (simple8b.block_values(data, 1) == v[4096:8192]).all() and (simple8b.block_values(data, 2) == v[8192:]).all()
+    assert (simple8b.block_values(data, 1) == v[1024:2048]).all() and (simple8b.block_values(data, 9) == v[9216:]).all()
 
 
 def test_against_library(spark):
@@ -44,3 +44,20 @@ def test_against_library(spark):
 
 def test_empty(spark):
     assert read_id_files(write_id_files(spark.createDataFrame([], "doc_id long, text string"), PATH)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abC éÀß'’_-.,12\n\t\x0b\x1c\u00a0Σς<|>İıŉ½²ªe\u0301"), st.sampled_from(["'S ", "'LL", "<|endoftext|>", "don't"])), max_size=40).map("".join))
+def test_pieces_equal_library(text):
+    from chronoweave.llm.token_ids import cache_of
+
+    c = cache_of(PATH)
+    assert c.ids(text) == np.array(c.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_corpus_equals_library(spark):
+    from chronoweave.llm.token_ids import cache_of
+
+    c = cache_of(PATH)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toLocalIterator():
+        assert c.ids(r.text) == np.array(c.library.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
