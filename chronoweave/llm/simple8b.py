@@ -16,7 +16,7 @@ import numpy as np
 
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64], np.int64)
-ESCAPE, BLOCK, MAGIC = 15, 4096, b"S8BIDS01"
+ESCAPE, BLOCK, MAGIC = 15, 1024, b"S8BIDS01"
 NO_ID = np.iinfo(np.int64).min
 _SMALL = np.array([int(i).bit_length() for i in range(1 << 16)], np.uint8)
 
@@ -55,20 +55,15 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         flat[fits[(stop - fits >= COUNTS[s]) | (stop % block == 0)]] = s
     # all blocks step from word to word together
     base, pos = np.arange(blocks, dtype=np.int64) * block, np.zeros(blocks, np.int64)
-    starts, sels = [], []
+    is_start = np.zeros(blocks * block, bool)
     live = np.arange(blocks)
     while len(live):
         p = base[live] + pos[live]
-        s = flat[p]
-        starts.append((p, live))
-        sels.append(s)
-        pos[live] += COUNTS[s]
+        is_start[p] = True
+        pos[live] += COUNTS[flat[p]]
         live = live[pos[live] < block]
-    start = np.concatenate([p for p, _ in starts])
-    owner = np.concatenate([b for _, b in starts])
-    sel = np.concatenate(sels)
-    order = np.argsort(start, kind="stable")
-    start, owner, sel = start[order], owner[order], sel[order].astype(np.int64)
+    start = np.flatnonzero(is_start)
+    owner, sel = start // block, flat[start].astype(np.int64)
     size = 1 + (sel == ESCAPE)
     where = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)

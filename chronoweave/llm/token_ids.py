@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +16,27 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .common import small_batches, written
 
-END_ID, FILE_IDS, CACHE, MARK, SMALL_ROWS = 2, 1 << 21, 600_000, "\x00", 1_000_000
+END_ID, FILE_IDS, CACHE, SMALL_ROWS = 2, 1 << 21, 800_000, 1_000_000
+
+
+#: Any but tab, newline, other ASCII signs and Latin letters up to U+017E, which are their own
+#: composed form and have a one-letter lower case without regard to what stands around.
+_ODD = re.compile("[^\t\n\r -~\u00c0-\u012f\u0131-\u017e]|<\\|")
+#: The tokenizer's own pattern, for such text in lower case.
+_WORDS = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+_BYTE_SIGNS = {b: c for c, b in enumerate([*range(33, 127), *range(161, 173), *range(174, 256)])}
+
+
+def _byte_table() -> dict[int, int]:
+    """The printable sign of each byte in a byte-level vocabulary: itself, or from U+0100 on if it isn't printable."""
+    rest = [b for b in range(256) if b not in _BYTE_SIGNS]
+    return {b: b for b in _BYTE_SIGNS} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class PieceCache(dict):
-    """Ids, as bytes, of pieces of text between spaces; unknown pieces are encoded by the library in one call.
+    """Ids, as bytes, of words in lower case, from the library's model; other text goes through the whole library.
 
-    Space and newline are white space to the tokenizer, which drops it and cuts there: its ids of a
-    text are those of the pieces one after another.
+    The tokenizer drops white space and cuts there, so a text's ids are those of its parts one after another.
     """
 
     def __init__(self, path: str):
@@ -29,34 +44,26 @@ class PieceCache(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self[""] = b""
-        self.mark = self._plain(MARK)
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.model = self.library.model
+        self.table = _byte_table()
 
-    def learn(self, parts: set[str]) -> None:
-        """Encode what is new, many pieces in one text with a mark between them, and cut its ids at the marks."""
-        new = [k for k in parts if k not in self]
-        if len(self) + len(new) > CACHE:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
             self.clear()
-            self[""] = b""
-            new = list(parts)
-        for k in [k for k in new if MARK in k]:
-            self[k] = self._plain(k).tobytes()
-        new = [k for k in new if MARK not in k]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            ids = self._plain(f" {MARK} ".join(part))
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) if len(self.mark) == 1 else []
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), 0
-                for k, e in zip(part, (4 * ends).tolist(), strict=True):
-                    self[k] = raw[at:e]
-                    at = e + 4
-            else:  # a vocabulary in which the mark is no token of its own
-                for k in part:
-                    self[k] = self._plain(k).tobytes()
+        signs = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
+        out = self[word] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        return out
+
+    def ids(self, text: str) -> bytes:
+        # of ASCII signs only these are white space here and not there
+        plain = "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else not _ODD.search(text)
+        if plain:
+            return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
+        parts = [p for p in re.split("[ \n]", text) if p]
+        return b"".join([self._whole(p) if _ODD.search(p) else b"".join(map(self.__getitem__, _WORDS.findall(p.lower()))) for p in parts])
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _CACHES: dict[str, PieceCache] = {}
@@ -71,16 +78,12 @@ def cache_of(path: str) -> PieceCache:
 
 def encode_texts(cache: PieceCache, texts: list[str], end: int = END_ID) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, the end id last."""
-    last, out = np.array([end], "<u4").tobytes(), []
-    for a in range(0, len(texts), 64):
-        cut = [t.replace("\n", " ").split(" ") for t in texts[a : a + 64]]
-        cache.learn(set().union(*cut))
-        out += [b"".join(map(cache.__getitem__, c)) + last for c in cut]
-    return out
+    last = np.array([end], "<u4").tobytes()
+    return [cache.ids(t) + last for t in texts]
 
 
 def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end: int = END_ID) -> DataFrame:
-    """A written table of id files: (file_no, data), file_no ascending with the document id.
+    """A written table of id files: (file_no, n, data): its number of ids and its bytes, file_no ascending with the document id.
 
     Null text is empty: the end id alone. Equal document ids stay separate documents, ordered by text;
     a null document id comes first. An empty table gives no file. Only the two columns named are read.
@@ -99,7 +102,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
         def flush() -> pa.RecordBatch:
             counts = np.array([len(x) // 4 for x in ids], np.int64)
             data = simple8b.pack_file(np.frombuffer(b"".join(ids), "<u4"), np.array(owners, np.int64), counts)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([data], pa.binary())], ["file_no", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([counts.sum()], pa.int64()), pa.array([data], pa.binary())], ["file_no", "n", "data"])
 
         for b in batches:
             names = b.column(0).fill_null(int(simple8b.NO_ID)).to_pylist()
@@ -118,17 +121,12 @@ def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x")).repartitionByRange("d").sortWithinPartitions("d", "x")
-    return written(rows.mapInArrow(run, "file_no long, data binary"), "id-files")
+    return written(rows.mapInArrow(run, "file_no long, n long, data binary"), "id-files")
 
 
 def read_id_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): every document of the files; start counts all ids before it."""
 
-    def totals(batches):
-        for b in batches:
-            n = [int(np.frombuffer(x.as_py()[8:16], "<i8")[0]) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["file_no", "n"])
-
     def run(batches):
         for b in batches:
             for no, data, base in zip(*(b.column(i) for i in range(3)), strict=True):
@@ -141,7 +139,6 @@ def read_id_files(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    n = files.mapInArrow(totals, "file_no long, n long")
     # one row for each file of FILE_IDS ids or more
-    start = written(n.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base")), "file-starts")
+    start = written(files.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base")), "file-starts")
     return files.join(F.broadcast(start) if start.count() <= SMALL_ROWS else start, "file_no").select("file_no", "data", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
