@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, small_batches, written
@@ -100,7 +101,7 @@ def _run_rows(batches, counts_only: bool):
             if counts_only:
                 yield pa.RecordBatch.from_arrays([key, pa.array(1 + inside.astype(np.int64))], ["key", "w"])
             else:
-                yield pa.RecordBatch.from_arrays([key, pa.array(docs[a:z][row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "doc", "start", "n"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(docs[a:z][row]), pa.array(start.astype(np.int32)), pa.array(np.where(inside, -n, n).astype(np.int32))], ["key", "doc", "start", "n"])
 
 
 def _digest(part: bytes) -> tuple[int, int]:
@@ -109,36 +110,53 @@ def _digest(part: bytes) -> tuple[int, int]:
 
 
 def _segments(batches):
-    """Of rows (doc, text, runs): (key, a, b, doc, start, segment)."""
-    names = ["key", "a", "b", "doc", "start", "segment"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    """Of rows (doc, text, runs): (key, a, b, doc, start, n, inside, segment); n is the segment's length, inside whether a window may repeat in it."""
+    names = ["key", "a", "b", "doc", "start", "n", "inside", "segment"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     for b in batches:
         rows: list[tuple] = []
         for doc, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
             raw = text.encode("utf-8", "replace")
             for f in found:
-                s = raw[f["start"] : f["start"] + f["n"] + WINDOW - 1]
-                rows.append((f["key"], *_digest(s), doc, f["start"], s))
+                s = raw[f["start"] : f["start"] + abs(f["n"]) + WINDOW - 1]
+                rows.append((f["key"], *_digest(s), doc, f["start"], len(s), f["n"] < 0, s))
         for x in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[x : x + 20_000], strict=True), kinds, strict=True)], names)
 
 
+def _order(rank: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks (all under `top`) in order and their places. Rank and place in one integer sort faster than places by rank."""
+    bits = max(1, len(rank) - 1).bit_length()
+    if top.bit_length() + bits > 63:
+        order = np.argsort(rank, kind="stable")
+        return rank[order], order
+    both = np.sort(rank << bits | np.arange(len(rank)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def suffix_order(follow: np.ndarray, ahead: np.ndarray, step: int, longest: int) -> np.ndarray:
     """The suffix array of circular strings by prefix doubling: `follow` ranks the first `step` letters, `ahead` is the place `step` on."""
     n = len(follow)
-    rank, h = follow.astype(np.int64), step
+    rank, h, top = follow.astype(np.int64), step, int(follow.max()) + 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        ranked, order = _order(rank, top)
         new = np.zeros(n, np.int64)
-        ranked = rank[order]
         new[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         if new[order[-1]] == n - 1 or h > longest:
             return order
-        rank = new * n + new[ahead]
+        rank, top = new * n + new[ahead], n * n
         ahead = ahead[ahead]
         h *= 2
 
 
+def _ranks(x: np.ndarray, top: int) -> np.ndarray:
+    """Dense ranks of numbers under `top`."""
+    ranked, order = _order(x, top)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+    return out
+
+
 def merge_shards(parts: list[bytes], window: int = WINDOW, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Repeated windows of distinct strings: (string, start, interval), rows of one interval being equal windows."""
     size = np.array([len(p) + 1 for p in parts])
@@ -148,17 +166,15 @@ def merge_shards(parts: list[bytes], window: int = WINDOW, shards: int = SHARDS)
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), size)
     back = np.arange(-1, n - 1, dtype=np.int32)
     back[base[:-1]] = base[1:] - 1
-    one = text[back].astype(np.uint64)  # letters before each place
+    one = text[back].astype(np.int64)  # letters before each place
     back2 = back[back]
-    two = one[back] << np.uint64(8) | one
+    two = one[back] << 8 | one
     back4 = back2[back2]
-    four = two[back2] << np.uint64(16) | two
+    letter4 = _ranks(two[back2] << 16 | two, 1 << 32)
     back8 = back4[back4]
-    eight = four[back4] << np.uint64(32) | four
+    letter8 = _ranks(letter4[back4] * n + letter4, n * n)
     ahead8 = np.empty(n, np.int32)
     ahead8[back8] = np.arange(n, dtype=np.int32)
-    _, letter8 = np.unique(eight, return_inverse=True)
-    _, letter4 = np.unique(four, return_inverse=True)
     # each shard's suffix array gives its rows: the letter before a row and the row of that letter
     bounds = base[np.linspace(0, len(parts), min(shards, len(parts)) + 1).astype(int)]
     places = np.empty(n, np.int32)
@@ -269,8 +285,10 @@ def _finish(batches, with_text: bool):
 
 def _release(spark) -> None:
     """Lets Spark delete the shuffle files of what nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
@@ -299,22 +317,33 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     _release(spark)
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
     cut = full.select(F.col("id").alias("doc"), "text").join(by_doc, "doc").select("doc", "text", "runs")
-    cut = written(cut.mapInArrow(_segments, "key long, a long, b long, doc long, start int, segment binary"), "segments")
+    cut = written(cut.mapInArrow(_segments, "key long, a long, b long, doc long, start int, n int, inside boolean, segment binary"), "segments", "zstd")
     discard(found)
     _release(spark)
     # of equal segments the first goes on, the others are repeats as a whole
     same = ["key", "a", "b"]
-    firsts = written(cut.groupBy(*same).agg(F.min(F.struct("doc", "start")).alias("first")).select(*same, "first.doc", "first.start"), "first-segments")
-    ones = cut.join(firsts.withColumnRenamed("doc", "d").withColumnRenamed("start", "s"), same)
-    copies = ones.where("doc <> d or start <> s").select("doc", F.col("start").cast("long").alias("from"), (F.col("start") + F.length("segment")).cast("long").alias("to"))
-    per_key = firsts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m"))
-    ones = cut.join(firsts, [*same, "doc", "start"], "left_semi").join(per_key, "key")
-    # a key with very many segments is a task for each two blocks of them
-    i = F.pmod(F.xxhash64("a"), F.col("m")).cast("int")
-    ones = ones.withColumn("i", i).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    tasks = ones.select("key", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "doc", F.col("start").cast("long").alias("start"), "segment")
-    tasks = tasks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    ranges = tasks.mapInArrow(_merge, "doc long, from long, to long")
+    firsts = cut.groupBy(*same).agg(F.min(F.struct("doc", "start", "segment")).alias("f"), F.max("inside").alias("inside"), F.count(F.lit(1)).alias("copies"))
+    firsts = written(firsts.select(*same, "f.doc", "f.start", "f.segment", "inside", "copies"), "first-segments", "zstd")
+    _release(spark)
+    many = firsts.where("copies > 1").select(*same, F.col("doc").alias("d"), F.col("start").alias("s"))
+    copies = cut.select(*same, "doc", "start", "n").join(many, same).where("doc <> d or start <> s")
+    copies = copies.select("doc", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("n")).cast("long").alias("to"))
+    # a key of one segment has nothing to merge; one of very many is a task for each two blocks of them
+    plain = firsts.select("key", "doc", F.col("start").cast("long").alias("start"), "segment", "inside", "a")
+    large = firsts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m")).where("m > 1")
+    large = written(large, "large-keys")
+    some = not large.isEmpty()
+    rest = plain.join(large, "key", "left_anti") if some else plain
+    of_key = Window.partitionBy("key")
+    rest = rest.withColumn("c", F.count(F.lit(1)).over(of_key)).withColumn("any", F.max("inside").over(of_key)).where("c > 1 or any")
+    none = F.lit(0)
+    ranges = rest.select("key", none.alias("x"), none.alias("y"), "doc", "start", "segment").mapInArrow(_merge, "doc long, from long, to long")
+    if some:
+        i = F.pmod(F.xxhash64("a"), F.col("m")).cast("int")
+        ones = plain.join(large, "key").withColumn("i", i).withColumn("o", F.explode(F.sequence(none, F.col("m") - 1)))
+        pairs = ones.select("key", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "doc", "start", "segment")
+        pairs = pairs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        ranges = ranges.union(pairs.mapInArrow(_merge, "doc long, from long, to long"))
     ranges = written(copies.union(ranges), "ranges")
     discard(cut)
     discard(firsts)
