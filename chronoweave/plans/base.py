@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cores, influence, snapshots, structure
+from ..operators import communities, cores, edge_generation, influence, samples, snapshots, structure
 from ..sources import edge_log
+from .scratch import kept as _kept
 
 _KNOWN: dict[tuple[str, str], "Graph"] = {}
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 class Graph:
     """The events table's edge log in windows of two days, one day apart."""
 
@@ -79,11 +75,43 @@ class Graph:
     def shares(self) -> DataFrame:
         return _kept(structure.structure(self.edges, self.state, self.hmax))
 
+    @cached_property
+    def cohort(self) -> DataFrame:
+        return _kept(samples.cohort(self.kcore, self.core, self.n, samples.evaluation_start(self.n)))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return _kept(communities.candidates(self.cohort, self.kcore))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return _kept(communities.recency_score(communities.candidate_edges(self.candidates, self.edges), self.edges))
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        """Communities of the cohort from scored past edges."""
+        kept = self.scored.where(communities.over(F.col("score"), 0.5, False))
+        return _kept(communities.peel_queries(self.cohort, kept))
+
+    @cached_property
+    def searched(self) -> DataFrame:
+        """Nodes that breadth-first search from the cohort looks at, coreness staying as it is."""
+        return _kept(communities.threshold_bfs(self.cohort, self.edges, self.core.withColumnRenamed("core", "pred"))[0])
+
     @cached_property
     def influences(self) -> tuple[DataFrame, DataFrame]:
         """State and norms after the last snapshot."""
         *_, last = influence.stream(self.edges, list(range(self.n)))
-        return last[1], last[2]
+        return _kept(last[1]), _kept(last[2])
+
+    @cached_property
+    def generated(self) -> DataFrame:
+        """Edges of the cohort's communities at the last query time, from influences after all but the last snapshot."""
+        t = self.n - 2
+        *_, (_, state, _norms) = influence.stream(self.edges, list(range(t + 1)))
+        scores = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(t))
+        members = self.searched.where("inside").where(F.col("t") == t).select("query", "k", "t", "node", "pred")
+        return _kept(edge_generation.generate_edges(members, scores))
 
     @cached_property
     def answers(self) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ordinal, sets
-from ..operators import communities, cores, edge_generation, history, influence, samples, snapshots, structure
+from ..functions import ordinal, ranking, sets
+from ..operators import communities, cores, edge_generation, features, history, influence, samples, snapshots, structure
 from ..sources import edge_log
 from .base import Graph, graph
 from .sql import influence_parts, sql
@@ -353,7 +353,7 @@ def _(g):
 
 
 def _cohort(g: Graph) -> DataFrame:
-    return samples.cohort(g.kcore, g.core, g.n, samples.evaluation_start(g.n))
+    return g.cohort
 
 
 @query("cohort", "SELECT query, k, t, empty FROM co", "co")
@@ -467,35 +467,34 @@ def _(g):
 
 @query("candidates", "SELECT query, k, t, node FROM cand", "cand")
 def _(g):
-    return communities.candidates(_cohort(g), g.kcore)
+    return g.candidates
 
 
 @query("candidate_sizes", "SELECT k, round(avg(n), 6) AS mean_size, max(n) AS max_size, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT query, k, t, count(*) AS n FROM cand GROUP BY 1, 2, 3) GROUP BY 1", "cand")
 def _(g):
-    n = communities.candidates(_cohort(g), g.kcore).groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("n"))
+    n = g.candidates.groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("k").agg(r6(F.avg("n")).alias("mean_size"), F.max("n").alias("max_size"), F.sum(F.floor(F.col("n") * (F.col("n") - 1) / 2)).alias("pairs"))
 
 
 @query("execution_order", "SELECT query, k, t, n, row_number() OVER (ORDER BY k DESC, n, t, query) AS place FROM (SELECT query, k, t, count(*) AS n FROM cand GROUP BY 1, 2, 3)", "cand")
 def _(g):
-    n = communities.candidates(_cohort(g), g.kcore).groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("n"))
+    n = g.candidates.groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("k").desc(), "n", "t", "query")).cast("long"))
 
 
 @query("candidate_edges", "SELECT query, k, t, u, v, first_t FROM ce", "ce")
 def _(g):
-    return communities.candidate_edges(communities.candidates(_cohort(g), g.kcore), g.edges)
+    return communities.candidate_edges(g.candidates, g.edges)
 
 
 @query("scored_edges", "SELECT query, k, t, u, v, round(score, 6) AS score FROM sc", "sc")
 def _(g):
-    pairs = communities.candidate_edges(communities.candidates(_cohort(g), g.kcore), g.edges)
-    return communities.recency_score(pairs, g.edges).select("query", "k", "t", "u", "v", r6("score").alias("score"))
+    return g.scored.select("query", "k", "t", "u", "v", r6("score").alias("score"))
 
 
 @query("link_communities", "SELECT query, k, t, node FROM prc", "prc")
 def _(g):
-    return communities.link_communities(_cohort(g), g.kcore, g.edges)
+    return g.linked
 
 
 def _predicted(g: Graph) -> DataFrame:
@@ -504,13 +503,12 @@ def _predicted(g: Graph) -> DataFrame:
 
 @query("bfs_nodes", "SELECT query, k, t, node, pred FROM bn", "bn")
 def _(g):
-    return communities.threshold_bfs(_cohort(g), g.edges, _predicted(g))[0].select("query", "k", "t", "node", "pred")
+    return g.searched.select("query", "k", "t", "node", "pred")
 
 
 @query("bfs_communities", "SELECT query, k, t, count(*) AS looked_at, count(*) FILTER (pred >= k) AS size FROM bn GROUP BY 1, 2, 3", "bn")
 def _(g):
-    seen, _layers = communities.threshold_bfs(_cohort(g), g.edges, _predicted(g))
-    return seen.groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("looked_at"), F.count_if("inside").alias("size"))
+    return g.searched.groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("looked_at"), F.count_if("inside").alias("size"))
 
 
 def _evaluated(g: Graph, members: DataFrame) -> DataFrame:
@@ -535,7 +533,7 @@ BFS = "(SELECT query, k, t, node FROM bn WHERE pred >= k)"
 
 
 def _bfs_members(g: Graph) -> DataFrame:
-    return communities.threshold_bfs(_cohort(g), g.edges, _predicted(g))[0].where("inside").select("query", "k", "t", "node")
+    return g.searched.where("inside").select("query", "k", "t", "node")
 
 
 @query("hybrid_metrics", f"SELECT query, k, t, {ROUNDED} FROM {_metrics_sql(BFS)}", "bn tr")
@@ -557,8 +555,7 @@ def _(g):
 
 @query("link_per_k", f"SELECT k, count(*) AS samples, {MEANS} FROM {_metrics_sql('prc')} GROUP BY 1", "prc tr")
 def _(g):
-    found = communities.link_communities(_cohort(g), g.kcore, g.edges)
-    return _evaluated(g, found).groupBy("k").agg(F.count(F.lit(1)).alias("samples"), *(r6(F.avg(m)).alias(m) for m in METRICS))
+    return _evaluated(g, g.linked).groupBy("k").agg(F.count(F.lit(1)).alias("samples"), *(r6(F.avg(m)).alias(m) for m in METRICS))
 
 
 # ---- edge generation ------------------------------------------------------------------------------
@@ -596,21 +593,117 @@ def _(g):
     return edge_generation.first_choices(_last(g), influence.merged_scores(g.answers))
 
 
-def _generated(g: Graph) -> DataFrame:
-    """Edges of the cohort's communities at the last query time, from influences after all but the last snapshot."""
-    t = g.n - 2
-    *_, (_, state, _norms) = influence.stream(g.edges, list(range(t + 1)))
-    scores = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(t))
-    queries = _cohort(g).where(F.col("t") == t)
-    members = communities.threshold_bfs(queries, g.edges, _predicted(g))[0].where("inside").select("query", "k", "t", "node", "pred")
-    return edge_generation.generate_edges(members, scores)
-
-
 @query("generated_edges")
 def _(g):
-    return _generated(g)
+    return g.generated
 
 
 @query("generated_case_metrics")
 def _(g):
-    return edge_generation.case_metrics(_generated(g))
+    return edge_generation.case_metrics(g.generated)
+
+
+# ---- more evaluation and features -----------------------------------------------------------------
+
+EXACT = influence_parts(5, top=10**9, least=-1, x="x")
+
+
+@query("influence_exact", f"SELECT src, node, time, round(score, 12) AS score FROM {EXACT}", EXACT)
+def _(g):
+    """The exact walk as of t = 4; its SQL is the streaming recurrence without bounds, which must agree."""
+    return influence.exact(g.edges, g.nodes.where("t <= 4").select("node").distinct(), 4).withColumn("score", F.round("score", 12))
+
+
+@query("feature_signatures", "SELECT s.node, s.time, k, round(sum(pow(0.7, s.time - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END) / ((1 - pow(0.7, s.time + 1)) / (1 - 0.7)), 6) AS value FROM smp s JOIN core c ON c.node = s.node AND c.t <= s.time, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) GROUP BY 1, 2, 3", "smp core mx")
+def _(g):
+    return features.signatures_at(samples.coreness_samples(g.core, g.n), g.core, g.kmax).withColumn("value", r6("value"))
+
+
+@query("trained_predictions")
+def _(g):
+    rows = features.feature_rows(samples.coreness_samples(g.core, g.n), g.core, g.state, g.kmax)
+    return features.predict(features.fit_predictor(rows), rows.where("split = 'test'")).select("node", "time", "label", "pred")
+
+
+@query("threshold_components", "SELECT node, min(other) AS component_id FROM r GROUP BY 1", "r")
+def _(g):
+    return communities.cumulative_components(_predicted(g), g.edges, 6, g.n - 1)
+
+
+@query(
+    "link_edge_metrics",
+    """SELECT query, k, t, round(CASE WHEN p = 0 AND n = 0 THEN 1 WHEN p = 0 OR n = 0 THEN 0 ELSE hit / p END, 6) AS precision, round(CASE WHEN p = 0 AND n = 0 THEN 1 WHEN p = 0 OR n = 0 THEN 0 ELSE hit / n END, 6) AS recall FROM (SELECT q.query, q.k, q.t,
+(SELECT count(*) FROM fe WHERE fe.query = q.query AND fe.k = q.k AND fe.t = q.t) AS p, (SELECT count(*) FROM te WHERE te.query = q.query AND te.k = q.k AND te.t = q.t) AS n,
+(SELECT count(*) FROM fe JOIN te USING (query, k, t, u, v) WHERE query = q.query AND k = q.k AND t = q.t) AS hit FROM co q WHERE NOT q.empty)""",
+    "co fe te",
+)
+def _(g):
+    key = ["query", "k", "t"]
+    cohort = _cohort(g)
+    pairs = communities.candidate_edges(communities.candidates(cohort, g.kcore), g.edges)
+    kept = communities.recency_score(pairs, g.edges).where(communities.over(F.col("score"), 0.5, False)).persist()
+    found = communities.peel_queries(cohort, kept)
+    for side in "uv":
+        kept = kept.join(found.select(*key, F.col("node").alias(side)), [*key, side], "left_semi")
+    truth = samples.truths(cohort.where("not empty"), g.kcore).select(*key, F.explode("community").alias("u"))
+    true = g.edges.select((F.col("t") - 1).alias("t"), "u", "v").join(truth, ["t", "u"]).join(truth.withColumnRenamed("u", "v"), [*key, "v"], "left_semi")
+    edge_sets = [x.groupBy(*key).agg(F.collect_set(F.struct("u", "v")).alias(n)) for x, n in ((kept, "p"), (true, "n"))]
+    rows = cohort.where("not empty").join(edge_sets[0], key, "left").join(edge_sets[1], key, "left")
+    none = F.array().cast("array<struct<u:bigint,v:bigint>>")
+    m = sets.set_metrics(F.coalesce("p", none), F.coalesce("n", none))
+    return rows.select(*key, r6(m["precision"]).alias("precision"), r6(m["recall"]).alias("recall"))
+
+
+LINKED = "(SELECT sc.query, sc.k, sc.t, sc.u, sc.v, round(score, 9) AS score, s.u IS NOT NULL AS linked FROM sc LEFT JOIN s ON s.t = sc.t + 1 AND s.u = sc.u AND s.v = sc.v)"
+
+
+def _linked(g: Graph) -> DataFrame:
+    after = g.edges.select((F.col("t") - 1).alias("t"), "u", "v", F.lit(True).alias("hit"))
+    rows = g.scored.join(after, ["t", "u", "v"], "left")
+    return rows.select(F.round("score", 9).alias("score"), F.col("hit").isNotNull().alias("linked"))
+
+
+@query("link_auc", f"SELECT round((sum(r) FILTER (linked) - count(*) FILTER (linked) * (count(*) FILTER (linked) + 1) / 2) / (count(*) FILTER (linked) * count(*) FILTER (NOT linked)), 6) AS auc FROM (SELECT linked, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM {LINKED})", "sc s")
+def _(g):
+    return ranking.auc(_linked(g), "score", "linked").select(r6("auc").alias("auc"))
+
+
+@query("link_average_precision", f"SELECT round(sum(p * pp / nn) / sum(p), 6) AS ap FROM (SELECT p, sum(p) OVER (ORDER BY score DESC) AS pp, sum(n) OVER (ORDER BY score DESC) AS nn FROM (SELECT score, count(*) AS n, count(*) FILTER (linked) AS p FROM {LINKED} GROUP BY 1))", "sc s")
+def _(g):
+    return ranking.average_precision(_linked(g), "score", "linked").select(r6("ap").alias("ap"))
+
+
+@query("pair_scores", "SELECT a.node AS u, b.node AS v, round(1 / (1 + exp(-(0.2 * greatest(0.1 * a.degree - 0.3 * b.core + 0.05, 0) - 0.15 * greatest(0.25 * a.h1 + 0.2 * b.h1 - 1, 0)))), 6) AS score FROM s JOIN ns a ON a.t = s.t AND a.node = s.u JOIN ns b ON b.t = s.t AND b.node = s.v, nt WHERE s.t = n - 1", "s ns nt")
+def _(g):
+    last = g.n - 1
+    nodes = g.state.where(F.col("t") == last).select("node", F.array(*(F.col(c).cast("double") for c in ("degree", "h1", "core"))).alias("vector"))
+    pairs = g.edges.where(F.col("t") == last).select("u", "v")
+    out = ranking.pair_decoder(pairs, nodes, [[0.1, 0.0, 0.0], [0.0, 0.25, 0.0]], [[0.0, 0.0, -0.3], [0.0, 0.2, 0.0]], [0.05, -1.0], [0.2, -0.15])
+    return out.withColumn("score", r6("score"))
+
+
+@query("capped_edges", "SELECT t, u, v FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY md5(concat_ws(':', 42, t, u, v))[1:13], u, v) AS r FROM s) WHERE r <= 50", "s")
+def _(g):
+    order = Window.partitionBy("t").orderBy(samples.unit(F.lit(42), "t", "u", "v"), "u", "v")
+    return g.edges.withColumn("r", F.row_number().over(order)).where("r <= 50").select("t", "u", "v")
+
+
+@query("sample_prefix", "SELECT query, k, t FROM co ORDER BY t, k, query LIMIT 10", "co")
+def _(g):
+    return _cohort(g).orderBy("t", "k", "query").limit(10).select("query", "k", "t")
+
+
+DONE = "(SELECT query, k, t, query / 10.0::DOUBLE AS m FROM co WHERE k < 5 OR query % 2 = 0)"
+
+
+@query("progress", f"SELECT k, count(*) AS total, count(d.m) AS completed, CASE WHEN count(*) = count(d.m) THEN round(avg(d.m), 6) ELSE 'inf'::DOUBLE END AS value FROM co LEFT JOIN {DONE} d USING (query, k, t) GROUP BY 1", "co")
+def _(g):
+    cohort = _cohort(g)
+    done = cohort.where("k < 5 or query % 2 = 0").withColumn("m", F.col("query") / 10.0)
+    return features.progress(cohort, done, "m").withColumn("value", F.round("value", 6))
+
+
+@query("pending", f"SELECT query, k, t FROM co EXCEPT SELECT query, k, t FROM {DONE}", "co")
+def _(g):
+    cohort = _cohort(g)
+    return features.pending(cohort, cohort.where("k < 5 or query % 2 = 0")).select("query", "k", "t")

@@ -1,0 +1,36 @@
+"""Tables that several queries read, written once to the shared folder."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_PATHS: list[tuple[SparkSession, str]] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write and read again: a plan stays short however many tables it rests on, and a lost executor takes nothing with it."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _PATHS.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear() -> None:
+    for spark, path in _PATHS:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; its folder is the cluster's to clear
+            return
+
+
+atexit.register(_clear)

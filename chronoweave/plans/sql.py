@@ -75,23 +75,30 @@ part("tr", "co kc", "SELECT co.query, co.k, co.t, y.node FROM co JOIN kc x ON x.
 part("bf", "co core hist", "SELECT query, k, t, query, 1, coalesce((SELECT core FROM core c WHERE c.t = co.t AND c.node = co.query), 0) FROM co UNION SELECT f.query, f.k, f.t, x.b, 0, coalesce(c.core, 0) FROM bf f JOIN (SELECT u AS a, v AS b, first_t FROM hist UNION ALL SELECT v, u, first_t FROM hist) x ON x.a = f.node AND x.first_t <= f.t LEFT JOIN core c ON c.t = f.t AND c.node = x.b WHERE f.pred >= f.k", "(query, k, t, node, is_query, pred)")
 part("bn", "bf", "SELECT DISTINCT query, k, t, node, pred FROM bf")
 
+part("ok6", "core nt", "SELECT node FROM core, nt WHERE t = n - 1 AND core >= 6")
+part("r", "ok6 hist", "SELECT node, node FROM ok6 UNION SELECT r.node, x.b FROM r JOIN (SELECT u AS a, v AS b FROM hist UNION ALL SELECT v, u FROM hist) x ON x.a = r.other JOIN ok6 o ON o.node = x.b", "(node, other)")
+part("fe", "pe prc", "SELECT pe.* FROM pe JOIN prc a ON a.query = pe.query AND a.k = pe.k AND a.t = pe.t AND a.node = pe.u JOIN prc b ON b.query = pe.query AND b.k = pe.k AND b.t = pe.t AND b.node = pe.v")
+part("te", "tr s", "SELECT a.query, a.k, a.t, s.u, s.v FROM s JOIN tr a ON a.t + 1 = s.t AND a.node = s.u JOIN tr b ON b.query = a.query AND b.k = a.k AND b.t = a.t AND b.node = s.v")
 
-def influence_parts(n: int, alpha: float = 0.3, beta: float = 0.5, top: int = 20, least: float = 1e-8) -> str:
+
+def influence_parts(n: int, alpha: float = 0.3, beta: float = 0.5, top: int = 20, least: float = 1e-8, x: str = "") -> str:
     """Parts for the streaming state after each of n snapshots; the name of the last state."""
     state, norm = "(SELECT CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS node, CAST(NULL AS INTEGER) AS time, CAST(NULL AS DOUBLE) AS score WHERE false)", "(SELECT CAST(NULL AS BIGINT) AS src, CAST(NULL AS DOUBLE) AS norm WHERE false)"
     needs = "adj"
     for t in range(n):
-        part(f"a{t}", needs, f"SELECT a, b FROM adj WHERE t = {t}")
-        part(f"d{t}", f"a{t}", f"SELECT d.a AS src, coalesce(o.norm, 0) AS old, {beta} * coalesce(o.norm, 0) + d.d AS norm FROM (SELECT a, count(*) AS d FROM a{t} GROUP BY 1) d LEFT JOIN {norm} o ON o.src = d.a")
+        part(f"a{x}{t}", needs, f"SELECT a, b FROM adj WHERE t = {t}")
+        part(f"d{x}{t}", f"a{x}{t}", f"SELECT d.a AS src, coalesce(o.norm, 0) AS old, {beta} * coalesce(o.norm, 0) + d.d AS norm FROM (SELECT a, count(*) AS d FROM a{x}{t} GROUP BY 1) d LEFT JOIN {norm} o ON o.src = d.a")
         part(
-            f"c{t}", f"d{t}",
-            f"SELECT src, node, time, sum(score) AS score FROM (SELECT p.src, p.node, p.time, p.score * {beta} * d.old / d.norm AS score FROM {state} p JOIN d{t} d ON d.src = p.src WHERE d.old > 0 "
-            f"UNION ALL SELECT a.a, a.b, {t}, {alpha * (1 - alpha)} / d.norm FROM a{t} a JOIN d{t} d ON d.src = a.a "
-            f"UNION ALL SELECT a.a, p.node, p.time, p.score * {1 - alpha} / d.norm FROM a{t} a JOIN d{t} d ON d.src = a.a JOIN {state} p ON p.src = a.b) GROUP BY 1, 2, 3 HAVING sum(score) > {least}",
+            f"c{x}{t}", f"d{x}{t}",
+            f"SELECT src, node, time, sum(score) AS score FROM (SELECT p.src, p.node, p.time, p.score * {beta} * d.old / d.norm AS score FROM {state} p JOIN d{x}{t} d ON d.src = p.src WHERE d.old > 0 "
+            f"UNION ALL SELECT a.a, a.b, {t}, {alpha * (1 - alpha)} / d.norm FROM a{x}{t} a JOIN d{x}{t} d ON d.src = a.a "
+            f"UNION ALL SELECT a.a, p.node, p.time, p.score * {1 - alpha} / d.norm FROM a{x}{t} a JOIN d{x}{t} d ON d.src = a.a JOIN {state} p ON p.src = a.b) GROUP BY 1, 2, 3 HAVING sum(score) > {least}",
         )
-        part(f"st{t}", f"c{t}", f"SELECT src, node, time, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 14) DESC, time DESC, node) AS r FROM c{t}) WHERE r <= {top} UNION ALL SELECT p.* FROM {state} p WHERE p.src NOT IN (SELECT src FROM d{t})")
-        part(f"no{t}", f"d{t}", f"SELECT src, norm FROM d{t} UNION ALL SELECT p.* FROM {norm} p WHERE p.src NOT IN (SELECT src FROM d{t})")
-        state, norm, needs = f"st{t}", f"no{t}", f"st{t} no{t}"
+        part(f"st{x}{t}", f"c{x}{t}", f"SELECT src, node, time, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 14) DESC, time DESC, node) AS r FROM c{x}{t}) WHERE r <= {top} UNION ALL SELECT p.* FROM {state} p WHERE p.src NOT IN (SELECT src FROM d{x}{t})")
+        part(f"no{x}{t}", f"d{x}{t}", f"SELECT src, norm FROM d{x}{t} UNION ALL SELECT p.* FROM {norm} p WHERE p.src NOT IN (SELECT src FROM d{x}{t})")
+        state, norm, needs = f"st{x}{t}", f"no{x}{t}", f"st{x}{t} no{x}{t}"
+    if x:
+        return state
     part("ans", state, f"SELECT src, node, time, score, score / sum(score) OVER (PARTITION BY src) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 14) DESC, time DESC, node) AS r FROM {state}) WHERE r <= 20")
     part("mg", "ans", "SELECT src, node, sum(score) AS score FROM ans GROUP BY 1, 2")
     return state
