@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cores import _own_checkpoint_dir, peel_component
+from .cores import _own_checkpoint_dir, components, peel, peel_component
 from .snapshots import adjacency, edge_history
 
 
@@ -54,11 +55,44 @@ def peel_queries(queries: DataFrame, kept_edges: DataFrame) -> DataFrame:
     return rows.groupBy("query", "k", "t").applyInPandas(run, "query long, k int, t int, node long")
 
 
+def candidate_sets(queries: DataFrame, kcore: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, k, t, set_id) and (query, k, t, node) of the distinct sets, `query` being the set's id there.
+
+    Queries of one k and t mostly meet the same past components; what follows is done once for each such set.
+    """
+    own = kcore.select("k", F.col("node").alias("query"), F.col("t").alias("at"), "component_id")
+    hit = queries.select("query", "k", "t").join(own, ["query", "k"]).where("at <= t")
+    parts = hit.groupBy("query", "k", "t").agg(F.array_sort(F.collect_set(F.struct("at", "component_id"))).alias("parts"))
+    of = parts.select("query", "k", "t", F.xxhash64("parts").alias("set_id"), "parts")
+    sets = of.groupBy("k", "t", "set_id").agg(F.first("parts").alias("parts")).withColumn("p", F.explode("parts"))
+    sets = sets.select(F.col("set_id").alias("query"), "k", "t", "p.at", "p.component_id")
+    members = kcore.select("k", F.col("t").alias("at"), "component_id", "node")
+    return of.drop("parts"), sets.join(members, ["k", "at", "component_id"]).select("query", "k", "t", "node").distinct()
+
+
+def peeled_parts(kept_edges: DataFrame) -> DataFrame:
+    """(query, k, t, node, component_id): all connected parts of the k-core of each query's edges."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, k, t = int(pdf["query"].iloc[0]), int(pdf["k"].iloc[0]), int(pdf["t"].iloc[0])
+        u, v = pdf.u.to_numpy(), pdf.v.to_numpy()
+        nodes, core = peel(u, v)
+        inside = nodes[core >= k]
+        keep = np.isin(u, inside) & np.isin(v, inside)
+        nodes, root = components(u[keep], v[keep]) if keep.any() else (inside[:0], inside[:0])
+        return pd.DataFrame({"query": q, "k": k, "t": t, "node": nodes, "component_id": root})
+
+    return kept_edges.select("query", "k", "t", "u", "v").groupBy("query", "k", "t").applyInPandas(run, "query long, k int, t int, node long, component_id long")
+
+
 def link_communities(queries: DataFrame, kcore: DataFrame, edges: DataFrame, threshold: float = 0.5, strict: bool = False, scorer: Callable[[DataFrame, DataFrame], DataFrame] = recency_score) -> DataFrame:
-    """(query, k, t, node): candidates, their past edges, scores, threshold, peel."""
-    pairs = candidate_edges(candidates(queries, kcore), edges)
-    scored = scorer(pairs, edges)
-    return peel_queries(queries, scored.where(over(F.col("score"), threshold, strict)))
+    """(query, k, t, node): candidates, their past edges, scores, threshold, peel; once for each distinct candidate set."""
+    of, sets = candidate_sets(queries, kcore)
+    scored = scorer(candidate_edges(sets, edges), edges)
+    parts = peeled_parts(scored.where(over(F.col("score"), threshold, strict))).withColumnRenamed("query", "set_id")
+    key = ["set_id", "k", "t"]
+    own = of.join(parts.withColumnRenamed("node", "query"), [*key, "query"])
+    return own.join(parts, [*key, "component_id"]).select("query", "k", "t", "node")
 
 
 def threshold_bfs(queries: DataFrame, edges: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -90,8 +90,7 @@ class Graph:
     @cached_property
     def linked(self) -> DataFrame:
         """Communities of the cohort from scored past edges."""
-        kept = self.scored.where(communities.over(F.col("score"), 0.5, False))
-        return _kept(communities.peel_queries(self.cohort, kept))
+        return _kept(communities.link_communities(self.cohort, self.kcore, self.edges))
 
     @cached_property
     def searched(self) -> DataFrame:
