@@ -26,6 +26,12 @@ MAX_PIECE, MAX_WORD, CACHE, FLOOR = 12, 48, 400_000, 1e-9
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def _words(text: str) -> list[str]:
+    """Words of a text in lower case; none if it has no letter (signs such as ² count as word signs, but aren't letters)."""
+    found = _WORDS.findall(text)
+    return found if found and (found[0].isalpha() or any(c.isalpha() for w in found for c in w)) else []
+
+
 def vocabulary(model_file: str) -> dict[str, int]:
     """Pieces of letters only, with a space's sign in front or not, from a public model file."""
     import sentencepiece
@@ -67,7 +73,7 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Of each text the language and its posterior, with a flat prior and the mean over words in place of the sum, so long texts don't all give 1."""
-        words = [_WORDS.findall((t or "").lower()) for t in texts]
+        words = [_words((t or "").lower()) for t in texts]
         some = [k for k, w in enumerate(words) if w]
         out = [("und", 0.0)] * len(texts)
         if some and self.languages:

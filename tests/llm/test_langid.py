@@ -40,7 +40,7 @@ def test_expected_counts():
 def test_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     m = L.fit_documents(docs, MODEL)
-    odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "12 !!", "en"), (-4, "Ünïcode 漢字 " * 3000, None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "12 !! ² ½", "en"), (-4, "Ünïcode 漢字 " * 3000, None)], "doc_id long, text string, lang string")
     rows = L.predict(docs.union(odd), m, names=("lang_pred", "doc_score")).collect()
     by = {r.doc_id: r for r in rows}
     assert [by[k].lang_pred for k in (-1, -2, -3)] == ["und"] * 3 and by[-1].doc_score == 0 and by[-4].lang_pred in m.languages
