@@ -43,7 +43,7 @@ def windows(edges: DataFrame, step: int = STEP, window: int = WINDOW) -> DataFra
 
 
 def window_hashes(edges: DataFrame, step: int = STEP, window: int = WINDOW) -> DataFrame:
-    """(window_index, sha256) of the records `u,v,ts` and a newline of each window, in order."""
+    """(window_index, sha256) of the records `u,v,ts` and a newline of each window, in order. One hash needs its records one after another, so a window is one task's."""
     s0, n, _, _ = window_plan(edges, step, window)
     line = F.concat_ws(",", "u", "v", "ts")
     rows = assign_windows(edges, s0, n, step, window).groupBy("window_index").agg(F.array_sort(F.collect_list(F.struct("ts", "ord", line.alias("line")))).alias("x"))

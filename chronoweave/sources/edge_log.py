@@ -96,8 +96,7 @@ def standardise_audit(raw: DataFrame, min_ts: int | None = None) -> DataFrame:
     start = F.lit(min_ts if min_ts is not None else -(2**62))
     ts = floor_ts("ts")
     rows = raw.select("ord", "u", "v", F.col("ts").cast("decimal(38,9)").alias("raw"), ts.alias("ts"))
-    # a descent is judged against the record before; only the last time of each partition crosses partitions
-    low = rows.withColumn("before", F.lag("ts").over(Window.orderBy("ord")))
+    low = with_before(rows, "ts", "ord")
     n = low.agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("u") == F.col("v")).alias("loops"),
@@ -109,9 +108,21 @@ def standardise_audit(raw: DataFrame, min_ts: int | None = None) -> DataFrame:
     return n.crossJoin(w).withColumn("duplicates", F.col("records") - F.col("loops") - F.col("before_start") - F.col("written"))
 
 
+def with_before(df: DataFrame, value: str, order: str, chunk: int = 1_000_000) -> DataFrame:
+    """`df` with `before`, the value of the row before in `order` (a long).
+
+    Rows are looked at in chunks of the order's numbers, side by side; only a chunk's last value goes to the next.
+    """
+    rows = df.withColumn("__c", F.floor(F.col(order) / F.lit(chunk)))
+    rows = rows.withColumn("before", F.lag(value).over(Window.partitionBy("__c").orderBy(order)))
+    last = rows.groupBy("__c").agg(F.max_by(value, order).alias("__last"))
+    last = last.select("__c", F.lag("__last").over(Window.orderBy("__c")).alias("__prior"))  # one row for each chunk
+    return rows.join(last, "__c").withColumn("before", F.coalesce("before", "__prior")).drop("__c", "__prior")
+
+
 def descents(edges: DataFrame, order: str = "ord") -> DataFrame:
     """Rows whose time is under that of the row before."""
-    return edges.withColumn("before", F.lag("ts").over(Window.orderBy(order))).where("before > ts")
+    return with_before(edges, "ts", order).where("before > ts")
 
 
 def require_sorted(edges: DataFrame, order: str = "ord") -> DataFrame:
