@@ -27,10 +27,25 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .words import chunks
 
-SPACE, CACHE, UNKNOWN_MARGIN = "▁", 400_000, 10.0
+SPACE, CACHE, UNKNOWN_MARGIN = "▁", 600_000, 10.0
 _PARTS = re.compile("▁+[^▁]*|[^▁]+")
 
 
+class _Words(dict):
+    """Ids, as bytes, of words with the space's sign in front."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.machine.shortest_path(SPACE + word)[0]).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 @dataclass
 class Machine:
     """The compiled transducer: trie arcs (state, character) -> state, and for each final state its piece and weight."""
@@ -44,7 +59,7 @@ class Machine:
     unknown: int = 0
 
     def __post_init__(self):
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Words(self)
 
     def __getstate__(self):
         return self.arcs, self.final, self.byte_ids, self.byte_cost, self.pieces, self.dummy_prefix, self.unknown
@@ -83,22 +98,11 @@ class Machine:
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        cache, out = self.cache, []
-        parts = _PARTS.findall(self.normalise(text or ""))
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            pass
-        for p in parts:
-            x = cache.get(p)
-            if x is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                x = array("I", self.shortest_path(p)[0]).tobytes()
-                if len(p) <= 64:
-                    cache[p] = x
-            out.append(x)
-        return b"".join(out)
+        text = text or ""
+        if text and self.dummy_prefix and "  " not in text and SPACE not in text and text[-1] != " " and text[0] != " ":
+            return b"".join(map(self.cache.__getitem__, text.split(" ")))  # each word has one sign in front
+        parts = _PARTS.findall(self.normalise(text))
+        return b"".join([self.cache[p[1:]] if p[0] == SPACE and p[1:2] != SPACE and len(p) > 1 else array("I", self.shortest_path(p)[0]).tobytes() for p in parts])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the arcs' inputs one after another, the sign in front of the text taken off."""
