@@ -73,10 +73,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K
     row = np.searchsorted(offsets, starts, side="right") - 1
     ok = (starts < len(least)) & (starts <= offsets[row + 1] - window)
     starts, ends, row = starts[ok], ends[ok], row[ok]
-    # a least hash at two places within one span: a window may repeat in its own run
+    # a least hash at two places at most a span apart: a window may repeat in its own run (at just a span, as the next window holds the second)
     most = _sliding(np.maximum, np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]), span)
     place = np.flatnonzero(most == h)
-    twin = place[:-1][(h[place[1:]] == h[place[:-1]]) & (place[1:] - place[:-1] < span)]
+    twin = place[:-1][(h[place[1:]] == h[place[:-1]]) & (place[1:] - place[:-1] <= span)]
     inside = np.zeros(len(starts), bool)
     if len(twin) and len(starts):
         of = np.searchsorted(offsets, twin, side="right") - 1

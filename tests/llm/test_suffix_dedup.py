@@ -50,6 +50,20 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert [got[10 * k] for k in range(len(docs))] == want and len(got) == len(docs)
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_periods_about_the_span(spark, copies):
+    """A window repeats in its own run up to a period of 81; alone, and in equal segments of several documents."""
+    r = random.Random(11)
+    docs = []
+    for period in (80, 81, 82):
+        for size in (99 + period, 100 + period, 181, 3 * period, 4 * period + 7):
+            line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=period - 1)) + "\n"
+            docs += [(line * 5)[:size]] * copies
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(df).collect()}
+    assert [got[k] for k in range(len(docs))] == brute(docs)
+
+
 def test_merge_equals_all_pairs():
     r = random.Random(7)
     parts = list({bytes(r.choices(b"ab\0", k=r.randint(12, 40))) for _ in range(60)})
