@@ -3,8 +3,9 @@
 Every text in a page has a path of tags from the root to it. Over each path the length of its
 texts, their punctuation and their number are summed; text per node and punctuation per node are
 the path's ratios. Both are smoothed over the paths in page order, multiplied together, and the
-paths at or above a share of the page's spread are content. The element that holds most of what
-these paths select is the article; its blocks, in page order, are the text.
+paths at or above a share of the page's spread are content. A page's article or main element is
+the article; without one it is the smallest element that holds all that is content by ratios of its
+own, with the headings beside it. Its blocks, in page order, are the text; none is left out.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _SPACE = re.compile(r"\s+")
 _SIGNS = re.compile(r"[.,;:!?…。、，！？·¿¡]")
 #: An end tag or a new block closes these by itself.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = HEADINGS | frozenset("p blockquote pre ul ol li table tbody tr td dl dd dt figure".split())
 SMOOTH, SHARE = (0.25, 0.5, 0.25), 0.5
 
 
@@ -116,8 +119,8 @@ def _smooth(x: list[float]) -> list[float]:
     return [sum(w * x[min(max(k + d, 0), n - 1)] for d, w in zip((-1, 0, 1), SMOOTH, strict=True)) for k in range(n)]
 
 
-def content_paths(parts: list[tuple[tuple[str, ...], int, str]], share: float = SHARE) -> set[tuple[str, ...]]:
-    """Paths whose fused, smoothed ratios reach the threshold: `share` times their standard deviation, or the greatest."""
+def content_paths(parts: list[tuple[tuple[str, ...], int, str]], share: float = SHARE, own: bool = False) -> set[tuple[str, ...]]:
+    """Paths whose fused, smoothed ratios reach the threshold: `share` times their standard deviation, or the greatest. own: and reach it before smoothing too."""
     sums: dict[tuple[str, ...], list[int]] = {}
     for path, _, s in parts:
         t = sums.setdefault(path, [0, 0, 0])
@@ -135,7 +138,8 @@ def content_paths(parts: list[tuple[tuple[str, ...], int, str]], share: float =
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     limit = min(max(fused), share * spread)
-    return {p for p, f in zip(paths, fused, strict=True) if f >= limit}
+    bare = [sums[p][0] / sums[p][2] * (sums[p][1] / sums[p][2] + 0.1) for p in paths]
+    return {p for p, f, b in zip(paths, fused, bare, strict=True) if f >= limit and (not own or b >= limit)}
 
 
 def main_text(page: str | None, share: float = SHARE) -> str:
@@ -161,11 +165,9 @@ def main_text(page: str | None, share: float = SHARE) -> str:
                 held[k] = held.get(k, 0) + len(s)
         if held:
             best = max(held, key=lambda k: (held[k], -k))
-            if held[best] * 2 >= max(held.values()):
-                parts = [p for p in parts if best in p[1]]
-                break
-    chosen = content_paths(parts, share)
-    # the smallest element with at least nine tenths of the chosen text is the article
+            return "\n".join(s for _, ids, s in parts if best in ids)
+    chosen = content_paths(parts, share, own=True) or content_paths(parts, share)
+    # the smallest element with all of the chosen text is the article
     total = sum(len(s) for path, _, s in parts if path in chosen)
     under: dict[int, int] = {}
     depth: dict[int, int] = {}
@@ -174,13 +176,14 @@ def main_text(page: str | None, share: float = SHARE) -> str:
             depth[i] = d
             if path in chosen:
                 under[i] = under.get(i, 0) + len(s)
-    whole = [i for i, n in under.items() if n >= 0.9 * total]
+    whole = [i for i, n in under.items() if n == total]
     holder = max(whole, key=lambda i: depth[i]) if whole else None
-    # a block that is itself the article has its neighbours with it
+    # a block that is itself the article has its neighbours with it, and an element the headings beside it
     if holder is not None:
         path, ids = next((p, i) for p, i, _ in parts if holder in i)
         d = depth[holder]
-        while d > 0 and path[d] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "table", "tbody", "tr", "td", "dl", "dd", "dt", "figure"):
+        headed = {i[k] for p, i, _ in parts for k in range(len(p) - 1) if p[k + 1] in HEADINGS}
+        while d > 0 and (path[d] in BLOCKS or ids[d - 1] in headed):
             d -= 1
         holder = ids[d]
     return "\n".join(s for _, ids, s in parts if holder is None or holder in ids)

@@ -25,6 +25,17 @@ def test_paths_choose_without_an_article():
     assert main_text(page).split("\n") == ["Title", one, "Brief.", one]
 
 
+def test_no_part_of_an_article_is_cut():
+    one = re.sub(r"\s+", " ", LONG).strip()
+    inner = f"<h1>Title</h1><div class=lead>Standfirst.</div><div class=content>{f'<p>{LONG}</p>' * 5}</div>"
+    for page in (f"<body><article>{inner}</article></body>", f"<body><main>{inner}</main></body>", f"<body><div>{inner}</div></body>"):
+        assert main_text(page).split("\n") == ["Title", "Standfirst.", *[one] * 5]
+    for kind in ("div", "section"):
+        two = f"<{kind}>{f'<p>{LONG}</p>' * 12}</{kind}><{kind}><p>{LONG}</p></{kind}>"
+        for page in (f"<body><article>{two}</article></body>", f"<body><div>{two}</div></body>"):
+            assert main_text(page).split("\n") == [one] * 13
+
+
 def test_ratios():
     parts = [(("b", "p"), 1, "Long text, of many words, with signs."), (("b", "p"), 2, "x."), (("b", "ul", "li"), 3, "link"), (("b", "ul", "li"), 4, "link"), (("b", "q"), 5, "c"), (("b", "z"), 6, "c")]
     assert content_paths([(p, i, s * 5) for p, i, s in parts]) == {("b", "p"), ("b", "ul", "li")} or ("b", "p") in content_paths(parts)
