@@ -223,7 +223,7 @@ def _(g):
 
 @query("coreness_by_joins", "SELECT t, node, x::INTEGER AS core FROM rec WHERE it = 80 AND t % 10 = 9", "rec")
 def _(g):
-    return cores.coreness_by_joins(g.edges.where("t % 10 = 9"))
+    return cores.coreness_by_joins(g.edges)
 
 
 @query("edge_min_core", "SELECT t, u, v, min_core FROM mc", "mc")
