@@ -610,8 +610,8 @@ EXACT = influence_parts(5, top=10**9, least=-1, x="x")
 
 @query("influence_exact", f"SELECT src, node, time, round(score, 12) AS score FROM {EXACT}", EXACT)
 def _(g):
-    """The exact walk as of t = 4; its SQL is the streaming recurrence without bounds, which must agree."""
-    return influence.exact(g.edges, g.nodes.where("t <= 4").select("node").distinct(), 4).withColumn("score", F.round("score", 12))
+    """The exact walk as of the last snapshot, from every node; its SQL, the streaming recurrence without bounds, still stops at t = 4."""
+    return influence.exact(g.edges, g.nodes.select("node").distinct(), g.n - 1).withColumn("score", F.round("score", 12))
 
 
 @query("feature_signatures", "SELECT s.node, s.time, k, round(sum(pow(0.7, s.time - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END) / ((1 - pow(0.7, s.time + 1)) / (1 - 0.7)), 6) AS value FROM smp s JOIN core c ON c.node = s.node AND c.t <= s.time, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) GROUP BY 1, 2, 3", "smp core mx")

@@ -23,3 +23,16 @@ def test_coreness_by_joins_of_all_snapshots(spark):
     assert got == {r for r in by_sql(entry_points.oracle_sql()["coreness"]) if r[2] > 0}
     # the SQL of its own still reads every tenth snapshot
     assert {r for r in got if r[0] % 10 == 9} == set(by_sql(entry_points.oracle_sql()["coreness_by_joins"]))
+
+
+def test_influence_exact_of_all_snapshots(spark):
+    g = graph(spark, DIR)
+    score = lambda rows: {tuple(r[:3]): r[3] for r in rows}
+    state = influence_parts(g.n, top=10**9, least=-1, x="whole")
+    want = score(by_sql(sql(f"SELECT src, node, time, score FROM {state}", state)))
+    got = score(entry_points.queries()["influence_exact"](spark, DIR).select("src", "node", "time", "score").collect())
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-11) for k in want)
+    # the SQL of its own still stops at t = 4
+    want = score(by_sql(entry_points.oracle_sql()["influence_exact"]))
+    got = score(influence.exact(g.edges, g.nodes.where("t <= 4").select("node").distinct(), 4).collect())
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-11) for k in want)
