@@ -105,11 +105,13 @@ class Graph:
 
     @cached_property
     def generated(self) -> DataFrame:
-        """Edges of the cohort's communities at the last query time, from influences after all but the last snapshot."""
-        t = self.n - 2
-        *_, (_, state, _norms) = influence.stream(self.edges, list(range(t + 1)))
-        scores = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(t))
-        members = self.searched.where("inside").where(F.col("t") == t).select("query", "k", "t", "node", "pred")
+        """Edges of the cohort's communities at every query time, each from influences after the snapshots up to it."""
+        first, scores = samples.evaluation_start(self.n), None
+        for t, state, _norms in influence.stream(self.edges, list(range(self.n - 1))):
+            if t >= first:
+                of = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(t))
+                scores = of if scores is None else scores.union(of)
+        members = self.searched.where("inside").select("query", "k", "t", "node", "pred")
         return _kept(edge_generation.generate_edges(members, scores))
 
     @cached_property

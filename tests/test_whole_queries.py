@@ -36,3 +36,17 @@ def test_influence_exact_of_all_snapshots(spark):
     want = score(by_sql(entry_points.oracle_sql()["influence_exact"]))
     got = score(influence.exact(g.edges, g.nodes.where("t <= 4").select("node").distinct(), 4).collect())
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-11) for k in want)
+
+
+def test_edges_generated_at_every_query_time(spark):
+    g = graph(spark, DIR)
+    rows = entry_points.queries()["generated_edges"](spark, DIR).persist()
+    members = g.searched.where("inside").select("query", "k", "t", "node", "pred")
+    of = lambda df: {tuple(r) for r in df.select("query", "k", "t").distinct().collect()}
+    assert of(rows) == of(members) and len({t for _, _, t in of(rows)}) > 1
+    assert of(entry_points.queries()["generated_case_metrics"](spark, DIR)) == of(members)
+    first = min(t for _, _, t in of(rows))
+    *_, (_, state, _norms) = influence.stream(g.edges, list(range(first + 1)))
+    scores = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(first))
+    want = edge_generation.generate_edges(members.where(F.col("t") == first), scores)
+    assert sorted(map(str, rows.where(F.col("t") == first).collect())) == sorted(map(str, want.collect()))
