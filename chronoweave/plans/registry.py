@@ -280,12 +280,12 @@ def _(g):
 @query("core_signatures_incremental", "SELECT node, k, round(sum(pow(0.7, 11 - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END) / ((1 - pow(0.7, 12)) / (1 - 0.7)), 6) AS value FROM core, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) WHERE t <= 11 GROUP BY 1, 2", "core mx")
 def _(g):
     state = g.spark.createDataFrame([], "node long, last_t int, sums array<double>")
-    for t in range(12):
+    for t in range(g.n):
         state = history.advance(state, g.core.where(F.col("t") == t), t, g.kmax)
         if t % 4 == 3:
             cores._own_checkpoint_dir(g.spark) if not g.spark.sparkContext.getCheckpointDir() else None
             state = state.checkpoint()
-    return history.read_state(state, 11).select("node", F.posexplode("vec").alias("p", "x")).select("node", (F.col("p") + 1).alias("k"), r6("x").alias("value"))
+    return history.read_state(state, g.n - 1).select("node", F.posexplode("vec").alias("p", "x")).select("node", (F.col("p") + 1).alias("k"), r6("x").alias("value"))
 
 
 @query("influence_state", f"SELECT src, node, time, round(score, 6) AS score FROM {STATE}", STATE)

@@ -50,3 +50,9 @@ def test_edges_generated_at_every_query_time(spark):
     scores = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(first))
     want = edge_generation.generate_edges(members.where(F.col("t") == first), scores)
     assert sorted(map(str, rows.where(F.col("t") == first).collect())) == sorted(map(str, want.collect()))
+
+
+def test_incremental_signatures_of_all_snapshots(spark):
+    got = {(r.node, r.k): r.value for r in entry_points.queries()["core_signatures_incremental"](spark, DIR).collect()}
+    want = {(n, k): v for n, k, v in by_sql(entry_points.oracle_sql()["core_signatures"])}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
