@@ -106,14 +106,13 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     text are empty. loss has the spans, in code points, of the assistant's texts. Extra columns are
     left out; an empty table gives none. Rows of a null tree are left out.
     """
-    small_batches(messages.sparkSession)
     m = messages.where("tree is not null and node is not null")
     paths = chosen_paths(m, branches)
     turns = paths.join(m.select("tree", "node", "role", "text"), ["tree", "node"])
     turns = turns.groupBy("tree", "leaf", "path").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "role", "text"))).alias("turns"))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             rows = [format_turns([(t["role"] or "", t["text"] or "") for t in x]) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["tree", "leaf", "path", "formatted", "loss"])
 
@@ -135,7 +134,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     """What reading formatted conversations back gives: turns, and all text under the loss mask, unescaped."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 turns = parse(text)

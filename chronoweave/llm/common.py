@@ -5,19 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import chunks
+
 _OWNED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where it is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; a temporary one of our own only where it is unset, in a local run."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         at = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -61,10 +66,63 @@ def discard(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: fewer rows per Arrow batch than Spark's default, so a batch stays small in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows: texts are long, and what is made of a batch is held whole. Spark bounds a batch's own bytes (arrow.maxBytesPerBatch)."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that isn't taken, however the caller's are written."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def fields(df: DataFrame) -> str:
+    """The columns as a schema string, each followed by a comma."""
+    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema)
+
+
+def renamed(df: DataFrame, leave: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
+    """`df` under the names c0, c1, ... without the columns `leave`, and its own names: whatever they are, none clashes with ours."""
+    out, low = {c.lower() for c in leave}, [c.lower() for c in df.columns]
+    at = [i for i, c in enumerate(low) if c not in out]
+    return df.toDF(*[f"c{i}" for i in range(len(low))]).select(*[f"c{i}" for i in at]).toDF(*[f"c{k}" for k in range(len(at))]), [df.columns[i] for i in at]
+
+
+def place(names: list[str], column: str) -> int:
+    """Where a column stands; by its exact name, or else as Spark resolves it, whatever the case."""
+    return names.index(column) if column in names else [n.lower() for n in names].index(column.lower())
+
+
+def with_made(df: DataFrame, column: str, make: Callable[[list], list[pa.Array]], new: str) -> DataFrame:
+    """`df` with the columns `new` ("name type, ..."), which make(values of `column`) gives for some rows at a time.
+
+    Existing columns of these names are replaced; all others pass, whatever their names.
+    """
+    made = [f.rsplit(" ", 1) for f in new.split(", ")]
+    rows, names = renamed(df, [n for n, _ in made if n.lower() != column.lower()])
+    at = place(names, column)
+    labels = [*rows.columns, *(f"n{k}" for k in range(len(made)))]
+
+    def run(batches):
+        for b in small_batches(batches):
+            values = b.column(at).to_pylist()
+            for a, z in chunks(values):
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns), *make(values[a:z])], labels)
+
+    out = rows.mapInArrow(run, fields(rows) + ", ".join(f"n{k} {t}" for k, (_, t) in enumerate(made)))
+    again = [k for k, n in enumerate(names) if n.lower() in {m.lower() for m, _ in made}]
+    out = out.drop(*[f"c{k}" for k in again])
+    return out.toDF(*[n for k, n in enumerate(names) if k not in again], *[n for n, _ in made])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

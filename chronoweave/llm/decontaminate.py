@@ -117,14 +117,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     to the executors and joined to all documents, so what is broadcast is bounded.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x"))
-    small_batches(docs.sparkSession)
     spark, out = docs.sparkSession, None
     for index in _indexes(benchmark, text, item_id):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in batches:
+            for b in small_batches(batches):
                 ids, texts = b.column(0), b.column(1).to_pylist()
                 for a, z in chunks(texts):
                     doc, item, *rest = index.overlaps(texts[a:z], cover, least)
@@ -138,14 +137,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", cover: float = COVER, least: int = MATCHES) -> DataFrame:
     """`docs` without the rows that overlap an item as `contamination` has it; no shuffle. Null texts stay."""
-    small_batches(docs.sparkSession)
     spark, at = docs.sparkSession, docs.columns.index(text)
     for index in _indexes(benchmark, text, item_id):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in batches:
+            for b in small_batches(batches):
                 texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
                 for a, z in chunks(texts):
                     keep[index.overlaps(texts[a:z], cover, least)[0] + a] = False

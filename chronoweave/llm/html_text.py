@@ -195,12 +195,11 @@ def extract(pages: DataFrame, source: str = "html", share: float = SHARE) -> Dat
     A null, empty or wordless page has an empty text. Rows stand alone: repeated ones give equal
     results. Existing `text` and `n_chars` are replaced. An empty table gives none.
     """
-    small_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in ("text", "n_chars", source)]
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(source).alias("__html"))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             found = [main_text(t, share) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array([len(f) for f in found], pa.int64())], [*keep, "text", "n_chars"])
 

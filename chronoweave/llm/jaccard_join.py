@@ -54,7 +54,7 @@ SIGNED = "doc_id long, digest binary, bands array<long>, checks binary"
 
 
 def _sign(batches):
-    for b in batches:
+    for b in small_batches(batches):
         ids, texts = b.column(0), b.column(1).to_pylist()
         for a, z in chunks(texts):
             words, offsets = word_hashes(texts[a:z])
@@ -178,7 +178,7 @@ def _link(batches, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(nodes[k]), pa.array(links[k]), pa.array(nodes[root[k]])], ["node", "links", "root"])
 
     key, held = None, []
-    for batch in batches:
+    for batch in small_batches(batches):
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
             if row[:3] != key:
@@ -200,7 +200,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one document, of which the greatest text counts; a null doc_id gives one row (null, null, 0)
     for each such row. An empty table gives none. Only the two columns named are read.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = rows.where("doc_id is not null")
     signed = written(known.mapInArrow(_sign, SIGNED), "signed")

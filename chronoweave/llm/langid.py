@@ -2,9 +2,10 @@
 
 For each language there is a probability for each piece of a fixed public vocabulary. The
 probability of a word is the sum, over all ways to cut it into pieces, of the product of their
-probabilities; a forward pass over the word's characters gives it. A text's score under a language
-is the product over its words. Piece probabilities come from expected counts over all
-segmentations (the forward-backward form of EM) of words counted over labelled documents.
+probabilities; a forward pass over the word's characters gives it, rescaled on the way, so that a
+word may have any length. A text's score under a language is the product over its words. Piece
+probabilities come from expected counts over all segmentations (the forward-backward form of EM) of
+words counted over labelled documents.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .words import chunks
+from .common import quoted, with_made
 
-#: Bound of the fit: at most so many labelled documents of each language, those of least hash, and so many words of each.
-FIT_DOCUMENTS, FIT_WORDS, ROUNDS = 2000, 20_000, 3
-MAX_PIECE, MAX_WORD, CACHE, FLOOR = 12, 48, 400_000, 1e-9
+#: Bound of the fit: the languages with most labelled documents, of each at most so many documents, those of least hash, and so many words.
+FIT_LANGUAGES, FIT_DOCUMENTS, FIT_WORDS, ROUNDS = 500, 2000, 20_000, 3
+#: No letter's probability is under FLOOR. CELLS bounds the numbers held for known words and for a group of words; words over LONG letters go one by one.
+FLOOR, CELLS, LONG = 1e-9, 1_600_000, 60
+SIGN, END = "▁", ""
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,7 +40,7 @@ def vocabulary(model_file: str) -> dict[str, int]:
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = (m.id_to_piece(i) for i in range(m.get_piece_size()))
-    keep = {p.lower() for p in pieces if len(p) <= MAX_PIECE and re.fullmatch(r"▁?[^\W\d_]+", p)}
+    keep = {p.lower() for p in pieces if re.fullmatch(r"▁?[^\W\d_]+|▁", p)}
     return {p: i for i, p in enumerate(sorted(keep))}
 
 
@@ -50,6 +52,13 @@ class Model:
     unknown: np.ndarray  # of a letter that is no piece, by language
 
     def __post_init__(self):
+        self.trie: dict = {}
+        for p, i in self.pieces.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[END] = i
+        self.longest = max(map(len, self.pieces), default=1)
         self.known: dict[str, int] = {}  # rows of `logs`, of words met so far
         self.logs = np.zeros((0, len(self.languages)))
 
@@ -63,12 +72,15 @@ class Model:
         """Rows of `logs` of all the words, one text after another."""
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
-        if len(known) + len(new) > CACHE:
+        if known and (len(known) + len(new)) * len(self.languages) > CELLS:
             known.clear()
-            self.logs, new = self.logs[:0], sorted(set().union(*words))
+            new = list(set().union(*words))
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.logs = np.concatenate([self.logs, forward(self, new)])
+            n = len(known) + len(new)
+            if n > len(self.logs):
+                self.logs = np.concatenate([self.logs[: len(known)], np.zeros((max(n, 2 * len(known)) - len(known), len(self.languages)))])
+            self.logs[len(known) : n] = forward(self, new)
+            known.update(zip(new, range(len(known), n), strict=True))
         return np.fromiter((known[w] for t in words for w in t), np.int64)
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -86,21 +98,64 @@ class Model:
                 out[k] = (self.languages[i], round(x, 9))
         return out
 
+    def found(self, word: str) -> list[tuple[int, int, int]]:
+        """(end, length, piece) of every piece at every place of a word with the space's sign in front."""
+        s, out = SIGN + word, []
+        n = len(s)
+        for b in range(n):
+            node, e = self.trie.get(s[b]), b + 1
+            while node is not None:
+                if END in node:
+                    out.append((e, e - b, node[END]))
+                if e == n:
+                    break
+                node = node.get(s[e])
+                e += 1
+        return out
+
 
-def _lattice(words: list[str], pieces: dict[str, int]):
-    """The words side by side: their lengths and, for each end and piece length, the piece ids (-1: none)."""
-    n = np.array([len(w) + 1 for w in words])
-    width = int(n.max())
-    ids = np.full((len(words), width + 1, MAX_PIECE + 1), -1, np.int32)
-    get = pieces.get
-    for k, w in enumerate(words):
-        s = "▁" + w
-        for e in range(1, len(s) + 1):
-            for b in range(max(0, e - MAX_PIECE), e):
-                i = get(s[b:e])
-                if i is not None:
-                    ids[k, e, e - b] = i
-    return n, ids
+def _one(model: Model, word: str) -> np.ndarray:
+    """Logarithms of one long word's probabilities: a sum for each place, over the last places only, each scaled by its greatest."""
+    keep = model.longest + 1
+    arcs: dict[int, list[tuple[int, int]]] = {}
+    for e, m, i in model.found(word):
+        arcs.setdefault(e, []).append((m, i))
+    alpha, scale = np.zeros((keep, len(model.languages))), np.zeros(len(model.languages))
+    alpha[0] = 1
+    for e in range(1, len(word) + 2):
+        new = alpha[(e - 1) % keep] * model.unknown
+        for m, i in arcs.get(e, ()):
+            new += alpha[(e - m) % keep] * model.weights[i]
+        alpha[e % keep] = new
+        if e % 8 == 0:
+            top = alpha.max(axis=0)
+            alpha /= top
+            scale += np.log(top)
+    return np.log(alpha[(len(word) + 1) % keep]) + scale
+
+
+def _groups(model: Model, words: list[str]):
+    """Places of words of like length, few enough that their tables stay small."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    a = 0
+    while a < len(order):
+        z = a + 1
+        while z < len(order) and z - a < 4096 and (z + 1 - a) * (len(words[order[z]]) + 2) * len(model.languages) <= CELLS:
+            z += 1
+        yield order[a:z]
+        a = z
+
+
+def _arcs(model: Model, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Of words side by side: for each end and length, the words with such a piece and the pieces."""
+    rows = [(e, m, k, i) for k, w in enumerate(words) for e, m, i in model.found(w)]
+    if not rows:
+        return {}
+    e, m, k, i = np.array(rows).T
+    order = np.lexsort((m, e))
+    e, m, k, i = e[order], m[order], k[order], i[order]
+    at = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (m[1:] != m[:-1])))
+    return {(int(e[s]), int(m[s])): (k[s:t], i[s:t]) for s, t in zip(at, np.append(at[1:], len(e)), strict=True)}
 
 
 def forward(model: Model, words: list[str], counts: np.ndarray | None = None) -> np.ndarray:
@@ -110,34 +165,47 @@ def forward(model: Model, words: list[str], counts: np.ndarray | None = None) ->
     model.expected, and of letters that are no piece to model.expected_unknown.
     """
     out = np.zeros((len(words), len(model.languages)))
-    weights = np.vstack([model.weights, np.zeros(len(model.languages))])  # -1: no piece
-    cut = [(k, w[c : c + MAX_WORD]) for k, w in enumerate(words) for c in range(0, len(w), MAX_WORD)]
-    cut.sort(key=lambda x: len(x[1]))
-    for a in range(0, len(cut), 2048):
-        part = cut[a : a + 2048]
-        owner = np.array([k for k, _ in part])
-        n, ids = _lattice([w for _, w in part], model.pieces)
-        alpha = np.zeros((ids.shape[1], len(part), len(model.languages)))
+    if counts is None:
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        for k in long:
+            out[k] = _one(model, words[k])
+        if long:
+            rest = [k for k, w in enumerate(words) if len(w) <= LONG]
+            if rest:
+                out[rest] = forward(model, [words[k] for k in rest])
+            return out
+    for own in _groups(model, words):
+        part = [words[k] for k in own]
+        arcs, n = _arcs(model, part), np.array([len(w) + 1 for w in part])
+        width, size = int(n.max()), (len(part), len(model.languages))
+        of: dict[int, list] = {}
+        for (e, m), x in arcs.items():
+            of.setdefault(e, []).append((m, *x))
+        alpha, scale = np.zeros((width + 1, *size)), np.zeros((width + 1, *size))  # alpha[e] is in units of exp(scale[e])
         alpha[0] = 1
-        for e in range(1, ids.shape[1]):
+        for e in range(1, width + 1):
             alpha[e] = alpha[e - 1] * model.unknown
-            for m in range(1, min(MAX_PIECE, e) + 1):
-                if (ids[:, e, m] >= 0).any():
-                    alpha[e] += alpha[e - m] * weights[ids[:, e, m]]
-        total = alpha[n, np.arange(len(part))]
-        np.add.at(out, owner, np.log(np.maximum(total, 1e-300)))
+            scale[e] = scale[e - 1]
+            for m, k, i in of.get(e, ()):
+                past = alpha[e - m][k] if m <= e % 8 or e < 8 else alpha[e - m][k] * np.exp(scale[e - m][k] - scale[e][k])
+                alpha[e][k] += past * model.weights[i]
+            if e % 8 == 0:
+                scale[e] += np.log(alpha[e])
+                alpha[e] = 1
+        at = np.arange(len(part))
+        out[own] = np.log(alpha[n, at]) + scale[n, at]
         if counts is not None:
+            # beta[e] is in units of exp(-scale[e]), so that alpha and beta of one place multiply to shares of the count
             beta = np.zeros_like(alpha)
-            beta[n, np.arange(len(part))] = counts[owner] / np.maximum(total, 1e-300)
-            for e in range(ids.shape[1] - 1, 0, -1):
-                model.expected_unknown += (alpha[e - 1] * model.unknown * beta[e]).sum(axis=0)
-                beta[e - 1] += beta[e] * model.unknown
-                for m in range(1, min(MAX_PIECE, e) + 1):
-                    own = np.flatnonzero(ids[:, e, m] >= 0)
-                    if len(own):
-                        w = weights[ids[own, e, m]]
-                        np.add.at(model.expected, ids[own, e, m], alpha[e - m][own] * w * beta[e][own])
-                        beta[e - m][own] += beta[e][own] * w
+            beta[n, at] = counts[own] / alpha[n, at]
+            for e in range(width, 0, -1):
+                step = beta[e] * np.exp(scale[e - 1] - scale[e]) * model.unknown
+                model.expected_unknown += (alpha[e - 1] * step).sum(axis=0)
+                beta[e - 1] += step
+                for m, k, i in of.get(e, ()):
+                    step = beta[e][k] * np.exp(scale[e - m][k] - scale[e][k]) * model.weights[i]
+                    np.add.at(model.expected, i, alpha[e - m][k] * step)
+                    beta[e - m][k] += step
     return out
 
 
@@ -161,24 +229,26 @@ def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int =
 def fit_documents(docs: DataFrame, model_file: str, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """A model from labelled documents whose crc32(doc_id) mod 4 isn't 2.
 
-    Bounded: of each language at most FIT_DOCUMENTS documents, those of least hash of their id and text,
-    and their FIT_WORDS most frequent words (ties by the word). Null texts and labels aren't used.
+    Bounded: the FIT_LANGUAGES languages with most such documents (ties by name), of each at most FIT_DOCUMENTS
+    documents, those of least hash of their id and text, and their FIT_WORDS most frequent words (ties by the
+    word). Null texts and labels aren't used.
     """
-    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("x"), F.col(lang).alias("l"))
+    rows = docs.select(quoted(doc_id).cast("string").alias("id"), quoted(text).alias("x"), quoted(lang).alias("l"))
     rows = rows.where("x is not null and l is not null and id is not null and crc32(cast(id as binary)) % 4 <> 2")
-    h = F.struct(F.xxhash64("id", "x").alias("h"), F.col("id"))
     size = F.count(F.lit(1)).alias("n")
-    # the hash below which about 1.5 FIT_DOCUMENTS of a language lie, then the exact first ones
-    of = {r.l: r.n for r in rows.groupBy("l").agg(size).collect()}
+    most = rows.groupBy("l").agg(size).orderBy(F.col("n").desc(), "l").limit(FIT_LANGUAGES)
+    of = most.collect()
     if not of:
         return Model([], {}, np.zeros((0, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(v) for l, n in of.items() for v in (l, min(1.0, 1.5 * FIT_DOCUMENTS / n + 200 / n))])
-    few = rows.withColumn("h", h).where((F.col("h.h") / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("l")))
+    # the hash below which about 1.5 FIT_DOCUMENTS of a language lie, then the exact first ones
+    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 1.5 * FIT_DOCUMENTS / r.n + 200 / r.n)) for r in of], "l string, share double")
+    h = F.struct(F.xxhash64("id", "x").alias("h"), F.col("id"))
+    few = rows.withColumn("h", h).join(F.broadcast(share), "l").where((F.col("h.h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= FIT_DOCUMENTS)
     word = F.explode(F.regexp_extract_all(F.lower("x"), F.lit(r"\p{L}+"), F.lit(0)))
     n = few.select("l", word.alias("w")).groupBy("l", "w").agg(size)
     top = n.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.col("n").desc(), "w"))).where(F.col("r") <= FIT_WORDS)
-    counts: dict[str, dict[str, int]] = {l: {} for l in of}
+    counts: dict[str, dict[str, int]] = {r.l: {} for r in of}
     for r in top.select("l", "w", "n").collect():
         counts[r.l][r.w] = r.n
     return fit(counts, vocabulary(model_file))
@@ -190,16 +260,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     A null text, or one without letters, is `und` with score 0; so is any text if the model has no
     language. Ties go to the language that sorts first. Repeated rows are scored alike.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.drop(*names)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
-
-    def run(batches):
-        model = shared.value
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            found = [x for a, z in chunks(texts) for x in model.scores(texts[a:z])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        found = shared.value.scores(texts)
+        return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+
+    return with_made(docs, text, make, f"{names[0]} string, {names[1]} double")

@@ -16,9 +16,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import quoted, small_batches
 
 CONTINUED, FIRST, LAST = 1, 2, 4
 FRAME, RATE, PAGE_PACKETS = 576, 8000, 85
@@ -184,11 +183,11 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """(doc_id, media): every whole text as an Ogg file.
 
     The UTF-8 bytes (null: none) are filled with bytes 255 up to a positive multiple of FRAME. Equal
-    texts give equal files, repeated and null ids stay rows of their own, an empty table gives none.
+    texts give equal files, repeated and null ids (whole numbers) stay rows of their own, an empty table gives none.
     """
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             ids, texts, out, held, a = b.column(0), b.column(1).to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
                 raw = (t or "").encode("utf-8", "replace")
@@ -198,8 +197,7 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     yield pa.RecordBatch.from_arrays([ids.slice(a, len(out)), pa.array(out, pa.binary())], ["doc_id", "media"])
                     a, out, held = i + 1, [], 0
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("x")).mapInArrow(run, "doc_id long, media binary")
+    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("x")).mapInArrow(run, "doc_id long, media binary")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_pages long, seconds double"
@@ -218,7 +216,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     schema = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in READ.split(", ")])
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 100):
             rows = [one(m) for m in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema.names)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ from .suffix_dedup import remove_repeats
 from .token_ids import read_id_files, write_id_files
 from .wfst import encode_documents
 
-TOKENIZERS = "/opt/tokenizers"
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
+    return encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_id_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    files = write_id_files(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return read_id_files(files)
 
 
@@ -61,7 +61,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = predict(docs.select("doc_id", "text"), fit_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model"))
+    out = predict(docs.select("doc_id", "text"), fit_documents(docs, public_tokenizers.path("piece_bpe_32k.model")))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

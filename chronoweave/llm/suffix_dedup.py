@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, written
+from .common import discard, quoted, small_batches, written
 from .words import _powers, mix
 
 WINDOW, K, STEP = 100, 20, 8
@@ -92,7 +92,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _run_rows(batches, counts_only: bool):
-    for b in batches:
+    for b in small_batches(batches):
         data, offsets = _bytes(b.column(1))
         docs = b.column(0).to_numpy(zero_copy_only=False)
         for a, z in _pieces(offsets):
@@ -113,7 +113,7 @@ def _segments(batches):
     """Of rows (doc, text, runs): (key, a, b, doc, start, n, inside, segment); n is the segment's length, inside whether a window may repeat in it."""
     names = ["key", "a", "b", "doc", "start", "n", "inside", "segment"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    for b in batches:
+    for b in small_batches(batches):
         rows: list[tuple] = []
         for doc, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
             raw = text.encode("utf-8", "replace")
@@ -236,7 +236,7 @@ def _merge(batches):
         return pa.RecordBatch.from_arrays([pa.array(docs[string]), pa.array(starts[string] + a), pa.array(starts[string] + z + WINDOW)], names)
 
     key, held, size = None, [], 0
-    for b in batches:
+    for b in small_batches(batches):
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             # a new chunk begins with a new key, so all of a key's windows are in one; those of two blocks may be met twice, apart
             if row[:3] != key:
@@ -272,7 +272,7 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def _finish(batches, with_text: bool):
     names = [f.split()[0] for f in OUT.split(", ")] + (["kept"] if with_text else [])
-    for b in batches:
+    for b in small_batches(batches):
         rows = []
         for doc, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
             raw = (text or "").encode("utf-8", "replace")
@@ -300,8 +300,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     WINDOW bytes stay whole. Only the two columns named are read; an empty table gives none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("id"), quoted(text).alias("text"))
     named = None
     if not rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         # ids that aren't unique are replaced by places in the order of (id, text)

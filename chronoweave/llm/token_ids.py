@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -14,87 +14,76 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import small_batches, written
-
-END_ID, FILE_IDS, CACHE, SMALL_ROWS = 2, 1 << 21, 800_000, 1_000_000
-
-
-#: Any but tab, newline, other ASCII signs and Latin letters up to U+017E, which are their own
-#: composed form and have a one-letter lower case without regard to what stands around.
-_ODD = re.compile("[^\t\n\r -~\u00c0-\u012f\u0131-\u017e]|<\\|")
-#: The tokenizer's own pattern, for such text in lower case.
-_WORDS = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
-_BYTE_SIGNS = {b: c for c, b in enumerate([*range(33, 127), *range(161, 173), *range(174, 256)])}
-
-
-def _byte_table() -> dict[int, int]:
-    """The printable sign of each byte in a byte-level vocabulary: itself, or from U+0100 on if it isn't printable."""
-    rest = [b for b in range(256) if b not in _BYTE_SIGNS]
-    return {b: b for b in _BYTE_SIGNS} | {b: 256 + i for i, b in enumerate(rest)}
-
-
-class PieceCache(dict):
-    """Ids, as bytes, of words in lower case, from the library's model; other text goes through the whole library.
-
-    The tokenizer drops white space and cuts there, so a text's ids are those of its parts one after another.
-    """
+from .common import quoted, small_batches, written
+
+END_ID, FILE_IDS, CACHE, SMALL_ROWS = 2, 1 << 21, 800_000, 200_000
+# fixed values: the steps of a tokenizer file after which a text's ids are those of its parts between spaces, one after another
+BY_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class Encoder:
+    """The library's encoder of one tokenizer file. Texts are encoded whole, or, where the file's own steps
+    drop white space and cut there (and no added token holds any), part by part, each different part once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.table = _byte_table()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        signs = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
-        out = self[word] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-        return out
+        steps = json.loads(self.library.to_str())
+        self.by_parts = all(steps[k] == v for k, v in BY_PARTS.items()) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in steps["added_tokens"])
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str) -> bytes:
-        # of ASCII signs only these are white space here and not there
-        plain = "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else not _ODD.search(text)
-        if plain:
-            return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
-        parts = [p for p in re.split("[ \n]", text) if p]
-        return b"".join([self._whole(p) if _ODD.search(p) else b"".join(map(self.__getitem__, _WORDS.findall(p.lower()))) for p in parts])
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_parts:
+            return self._ids(texts)
+        known = self.parts
+        if len(known) > CACHE:
+            known.clear()
+            known[""] = b""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*cut).difference(known))
+        known.update(zip(new, self._ids(new), strict=True))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
-_CACHES: dict[str, PieceCache] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def cache_of(path: str) -> PieceCache:
-    """One cache for each worker process."""
-    if path not in _CACHES:
-        _CACHES[path] = PieceCache(path)
-    return _CACHES[path]
-
-
-def encode_texts(cache: PieceCache, texts: list[str], end: int = END_ID) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, the end id last."""
-    last = np.array([end], "<u4").tobytes()
-    return [cache.ids(t) + last for t in texts]
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", end: int = END_ID) -> DataFrame:
     """A written table of id files: (file_no, n, data): its number of ids and its bytes, file_no ascending with the document id.
 
-    Null text is empty: the end id alone. Equal document ids stay separate documents, ordered by text;
-    a null document id comes first. An empty table gives no file. Only the two columns named are read.
-    A file holds whole documents, FILE_IDS ids or one document more. Files are rows of a Parquet
+    Null text is empty: the end id alone. Equal document ids stay separate documents, ordered by their texts' hash
+    and then by text, so that a third of all rows under one id still spread; a null document id comes first. An empty table gives no file. Only the two columns named are read.
+    Ids are whole numbers. A file holds whole documents, FILE_IDS ids or one document more. Files are rows of a Parquet
     table in the shared folder: Spark's commit keeps a lost executor's half-written files out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, k = cache_of(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, k = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        last = np.array([end], "<u4").tobytes()
         ids: list[bytes] = []
         owners: list[int] = []
         held = 0
@@ -104,23 +93,22 @@ def write_id_files(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
             data = simple8b.pack_file(np.frombuffer(b"".join(ids), "<u4"), np.array(owners, np.int64), counts)
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([counts.sum()], pa.int64()), pa.array([data], pa.binary())], ["file_no", "n", "data"])
 
-        for b in batches:
+        for b in small_batches(batches, 256):
             names = b.column(0).fill_null(int(simple8b.NO_ID)).to_pylist()
-            for a in range(0, len(names), 256):
-                for o, x in zip(names[a : a + 256], encode_texts(cache, [t or "" for t in b.column(1).slice(a, 256).to_pylist()], end), strict=True):
-                    ids.append(x)
-                    owners.append(o)
-                    held += len(x) // 4
-                    if held >= FILE_IDS:
-                        yield flush()
-                        k, held = k + 1, 0
-                        ids.clear()
-                        owners.clear()
+            for o, x in zip(names, coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids.append(x + last)
+                owners.append(o)
+                held += len(x) // 4 + 1
+                if held >= FILE_IDS:
+                    yield flush()
+                    k, held = k + 1, 0
+                    ids.clear()
+                    owners.clear()
         if ids:
             yield flush()
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x")).repartitionByRange("d").sortWithinPartitions("d", "x")
+    rows = docs.select(quoted(doc_id).cast("long").alias("d"), quoted(text).alias("x")).withColumn("h", F.xxhash64("x"))
+    rows = rows.repartitionByRange("d", "h").sortWithinPartitions("d", "h", "x").select("d", "x")
     return written(rows.mapInArrow(run, "file_no long, n long, data binary"), "id-files")
 
 
@@ -139,6 +127,10 @@ def read_id_files(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    # one row for each file of FILE_IDS ids or more
-    start = written(files.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("base")), "file-starts")
+    # files are counted within each writing task first, then the tasks
+    sizes = files.select("file_no", F.shiftright("file_no", 32).alias("part"), "n")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("file_no")) - F.col("n")
+    start = written(sizes.withColumn("inside", inside).join(parts, "part").select("file_no", (F.col("before") + F.col("inside")).alias("base")), "file-starts")
     return files.join(F.broadcast(start) if start.count() <= SMALL_ROWS else start, "file_no").select("file_no", "data", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

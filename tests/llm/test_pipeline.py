@@ -4,18 +4,22 @@ from array import array
 from collections import Counter
 
 import corpus_pipeline as P
-from chronoweave.llm import wfst
+import public_tokenizers
+import sentencepiece
 from chronoweave.llm.langid import fit_documents
 
 from .test_decontaminate import brute as brute_overlaps
 from .test_jaccard_join import brute as brute_links
 
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def test_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/documents.parquet").collect()
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    model = fit_documents(spark.read.parquet(f"{d}/documents.parquet"), f"{P.TOKENIZERS}/piece_bpe_32k.model")
+    model = fit_documents(spark.read.parquet(f"{d}/documents.parquet"), MODEL)
     docs = [r for r, (lang, score) in zip(rows, model.scores([r.text for r in rows])) if lang != "und" and score >= P.LEAST_SCORE]
     pages, seen = Counter(r.source for r in docs), Counter()
     for r in docs:
@@ -45,9 +49,9 @@ def test_against_brute_force(spark):
     want = {k: t for k, t in texts.items() if k not in leaks}
     got = {r.doc_id: r for r in P.run(spark, d).collect()}
     assert set(got) == set(want)
-    m = wfst.compile_model(f"{P.TOKENIZERS}/piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for k, t in want.items():
-        ids = array("I", [i for p in wfst._PARTS.findall(m.normalise(t)) for i in m.shortest_path(p)[0]]).tobytes()
+        ids = array("I", m.encode(t)).tobytes()
         assert bytes(got[k].ids) == ids and got[k].ids_crc32 == zlib.crc32(ids) and got[k].n_chars == len(t) and got[k].decoded_equal == ("▁" not in t)
 
 
