@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +20,13 @@ from chronoweave.llm.line_dedup import drop_boilerplate
 from chronoweave.llm.wfst import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-TOKENIZERS = "/opt/tokenizers"
 #: A document goes if its language's posterior is under this; with four languages a text that tells nothing has 0.25.
 LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null, empty and letterless texts go. Learns from the labels of its input."""
-    out = predict(docs.select(*COLUMNS), fit_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model"), names=("__lang", "__score"))
+    out = predict(docs.select(*COLUMNS), fit_documents(docs, public_tokenizers.path("piece_bpe_32k.model")), names=("__lang", "__score"))
     return out.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
@@ -49,7 +49,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids and what tells whether they decode to its text."""
-    return encode_documents(docs.select(*COLUMNS), f"{TOKENIZERS}/piece_bpe_32k.model").drop("text")
+    return encode_documents(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
