@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .words import chunks
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWNED: list[tuple[SparkSession, str]] = []
 
 
@@ -51,10 +53,22 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends, not when the driver happens to collect its garbage; the caller's setting comes back."""
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = table_path(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._chronoweave_path = path
     return out

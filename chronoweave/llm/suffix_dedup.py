@@ -15,9 +15,7 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from .common import discard, quoted, small_batches, written
 from .words import _powers, mix
 
 WINDOW, K, STEP = 100, 20, 8
-CHUNK, SHARDS, BLOCK = 1 << 19, 4, 4096
+CHUNK, SHARDS, BLOCK_BYTES = 1 << 19, 4, 1 << 20
 
 
 def _pieces(offsets: np.ndarray, size: int = 1 << 19):
@@ -283,23 +281,16 @@ def _finish(batches, with_text: bool):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of what nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): each document without the bytes covered by a string of
     WINDOW bytes that also starts earlier, in a document of smaller id or further up in the same one.
 
     Matches never cross documents and are judged on the input. Null text is empty. Of documents with
     equal ids, the one whose text sorts first is earlier; a null id is smaller than any. Texts under
-    WINDOW bytes stay whole. Only the two columns named are read; an empty table gives none.
+    WINDOW bytes stay whole. Ids are whole numbers. Only the two columns named are read; an empty table gives none.
+
+    A merging task holds two blocks of BLOCK_BYTES and at most one segment more of each, which a document bounds.
     """
-    spark = docs.sparkSession
     rows = docs.select(quoted(doc_id).cast("long").alias("id"), quoted(text).alias("text"))
     named = None
     if not rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
@@ -309,27 +300,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     full = rows.where(f"octet_length(text) >= {WINDOW}")
     again = full.mapInArrow(lambda b: _run_rows(b, True), "key long, w long").groupBy("key").agg(F.sum("w").alias("w")).where("w > 1").select("key")
     again = written(again, "keys-met-again")
-    _release(spark)
     found = full.mapInArrow(lambda b: _run_rows(b, False), "key long, doc long, start int, n int").join(again, "key")
     found = written(found, "runs-met-again")
     discard(again)
-    _release(spark)
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
     cut = full.select(F.col("id").alias("doc"), "text").join(by_doc, "doc").select("doc", "text", "runs")
     cut = written(cut.mapInArrow(_segments, "key long, a long, b long, doc long, start int, n int, inside boolean, segment binary"), "segments", "zstd")
     discard(found)
-    _release(spark)
     # of equal segments the first goes on, the others are repeats as a whole
     same = ["key", "a", "b"]
     firsts = cut.groupBy(*same).agg(F.min(F.struct("doc", "start", "segment")).alias("f"), F.max("inside").alias("inside"), F.count(F.lit(1)).alias("copies"))
     firsts = written(firsts.select(*same, "f.doc", "f.start", "f.segment", "inside", "copies"), "first-segments", "zstd")
-    _release(spark)
     many = firsts.where("copies > 1").select(*same, F.col("doc").alias("d"), F.col("start").alias("s"))
     copies = cut.select(*same, "doc", "start", "n").join(many, same).where("doc <> d or start <> s")
     copies = copies.select("doc", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("n")).cast("long").alias("to"))
-    # a key of one segment has nothing to merge; one of very many is a task for each two blocks of them
+    # a key of one segment has nothing to merge; one of more bytes than a block is a task for each two blocks of them
     plain = firsts.select("key", "doc", F.col("start").cast("long").alias("start"), "segment", "inside", "a")
-    large = firsts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m")).where("m > 1")
+    large = firsts.groupBy("key").agg(F.ceil(F.sum(F.octet_length("segment")) / F.lit(BLOCK_BYTES)).cast("int").alias("m")).where("m > 1")
     large = written(large, "large-keys")
     some = not large.isEmpty()
     rest = plain.join(large, "key", "left_anti") if some else plain
@@ -346,7 +333,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ranges = written(copies.union(ranges), "ranges")
     discard(cut)
     discard(firsts)
-    _release(spark)
     spans = ranges.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     last = rows.select(F.col("id").alias("doc"), "text").join(spans, "doc", "left").select("doc", "text", "spans")
     out = last.mapInArrow(lambda b: _finish(b, with_text), OUT + (", kept binary" if with_text else ""))

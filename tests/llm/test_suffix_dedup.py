@@ -43,13 +43,28 @@ def corpus(seed):
 def test_against_brute_force(spark, seed, monkeypatch):
     docs = corpus(seed)
     if seed == 2:
-        monkeypatch.setattr(S, "BLOCK", 3)  # keys of many segments go in blocks
+        monkeypatch.setattr(S, "BLOCK_BYTES", 300)  # keys of many bytes go in blocks
     df = spark.createDataFrame([(10 * k, t) for k, t in enumerate(docs)], "doc_id long, text string").selectExpr("*", "1 as doc", "2 as start").repartition(7)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df).collect()}
     want = brute(docs)
     assert [got[10 * k] for k in range(len(docs))] == want and len(got) == len(docs)
 
 
+def test_every_period(spark):
+    """Texts of every period from 1 to 220, and pages of 80-column lines of which some repeat."""
+    r = random.Random(5)
+    docs = []
+    for period in range(1, 221):
+        line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=period - 1)) + "\n"
+        docs.append((line * (2 + 400 // period))[: r.randint(2 * period, 3 * period + 150)])
+    line = lambda: "".join(r.choices("abcdefgh ", k=80))
+    same = line()
+    docs += ["\n".join([same] * 6), "\n".join([line(), same, same, line(), same, same, same]), "\n".join([line() for _ in range(9)] + [same]), ("q" * 80 + "z") * 4]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.remove_repeats(df).collect()}
+    assert [got[k] for k in range(len(docs))] == brute(docs)
+
+
 @pytest.mark.parametrize("copies", [1, 3])
 def test_periods_about_the_span(spark, copies):
     """A window repeats in its own run up to a period of 81; alone, and in equal segments of several documents."""
