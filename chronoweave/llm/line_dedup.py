@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import place, renamed, written
 
 RATIO, MIN_PAGES, BROADCAST_ROWS = 0.1, 5, 50_000
 
@@ -42,19 +42,17 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     A line counts once for each page (row) that has it; white space at its ends doesn't count;
     blank lines are never boilerplate. A null host is one host of its own, a null text stays
     null with no lines, an empty text is one blank line. Rows with equal ids are separate pages.
-    Other columns pass through; existing `lines_in` and `lines_dropped` are replaced.
+    Other columns pass through, whatever their names; existing `lines_in` and `lines_dropped` are replaced.
     The table of boilerplate lines is written first; it is broadcast only if it is small.
     """
-    keep = [c for c in pages.columns if c not in ("lines_in", "lines_dropped")]
-    found = written(boilerplate_lines(pages, text, host, ratio, min_pages), "boilerplate")
+    rows, names = renamed(pages, ["lines_in", "lines_dropped"])
+    text, host = (f"c{place(names, c)}" for c in (text, host))
+    found = written(boilerplate_lines(rows, text, host, ratio, min_pages), "boilerplate")
     size = found.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    small = found.select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
-    docs = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(host), F.lit("")).alias("__h"))
-    docs = docs.join(F.broadcast(small) if size <= BROADCAST_ROWS else small, F.col("__h") == F.col("__host"), "left")
+    docs = rows.withColumn("host", F.coalesce(F.col(host), F.lit(""))).join(F.broadcast(found) if size <= BROADCAST_ROWS else found, "host", "left")
     lines = _lines(F.col(text))
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__keys"), _key(x))))
-    docs = docs.withColumn("__kept", kept)
+    docs = docs.withColumn("kept", F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("keys"), _key(x)))))
     n_in = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_out = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
-    new = F.array_join("__kept", "\n")
-    return docs.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in keep], n_in.alias("lines_in"), (n_in - n_out).alias("lines_dropped"))
+    n_out = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("kept")).cast("long")
+    new = F.array_join("kept", "\n")
+    return docs.select(*[new.alias(c) if c == text else c for c in rows.columns], n_in.alias("n_in"), (n_in - n_out).alias("n_dropped")).toDF(*names, "lines_in", "lines_dropped")
