@@ -102,14 +102,16 @@ FORMATTED = "tree long, leaf long, path int, formatted string, loss array<long>"
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, path, formatted, loss): the chosen paths of reply trees as conversations.
 
-    `messages` has tree, node, parent, score, role and text; (tree, node) is unique. Null role and
-    text are empty. loss has the spans, in code points, of the assistant's texts. Extra columns are
-    left out; an empty table gives none. Rows of a null tree are left out.
+    `messages` has tree, node, parent, score, role and text; (tree, node) is unique and node isn't
+    null. Null role and text are empty; a null tree is a tree of its own. loss has the spans, in code
+    points, of the assistant's texts. Extra columns are left out; an empty table gives none.
     """
-    m = messages.where("tree is not null and node is not null")
+    tree = F.struct(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0)).alias("id"))
+    m = messages.where("node is not null").select(tree.alias("tree"), "node", "parent", "score", "role", "text")
     paths = chosen_paths(m, branches)
     turns = paths.join(m.select("tree", "node", "role", "text"), ["tree", "node"])
     turns = turns.groupBy("tree", "leaf", "path").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "role", "text"))).alias("turns"))
+    turns = turns.select(F.when(~F.col("tree.none"), F.col("tree.id")).alias("tree"), "leaf", "path", "turns")
 
     def run(batches):
         for b in small_batches(batches):
@@ -121,10 +123,19 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def chains(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees: each row answers the one before it, by turn,
-    then role and text where turns are equal. The score is the length of the text."""
+    then role and text where turns are equal. A row scores the length of its text and one.
+
+    A conversation might have ended at any turn: beside each row but the first stands a leaf without
+    text, an end, which scores -1. So there are as many root-to-leaf paths as rows, and the ranking
+    finds the one that goes through all of them.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    return rows.select(F.col("conv_id").cast("long").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.coalesce(F.length("text"), F.lit(0)).alias("score"), "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order).cast("long"))
+    tree, parent = F.col("conv_id").cast("long").alias("tree"), F.when(F.col("n") > 1, 2 * F.col("n") - 2).alias("parent")
+    own = rows.select(tree, (2 * F.col("n")).alias("node"), parent, (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("score"), "role", "text")
+    none = F.lit(None).cast("string")
+    ends = rows.where("n > 1").select(tree, (2 * F.col("n") + 1).alias("node"), parent, F.lit(-1).alias("score"), none.alias("role"), none.alias("text"))
+    return own.union(ends)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -91,7 +91,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + length(esc) + 10) AS BIGINT) AS formatted_chars
-FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id
+FROM e GROUP BY conv_id
 """
 
 SQL: dict[str, str] = {
