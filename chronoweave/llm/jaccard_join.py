@@ -3,11 +3,14 @@
 1. Copies (equal word sequences) are grouped first; one representative of each goes on.
 2. MinHash values in 32 bands of 5 give candidates: representatives that share a band key, over any
    chain, are one candidate cluster. A pair at similarity 0.8 shares none with probability 3e-6.
-3. Inside a cluster, in blocks, 64 further MinHash values are compared eight at a time; with m of n
-   equal and a flat prior, the similarity has the posterior Beta(m + 1, n - m + 1), and a pair is
-   dropped once its probability of reaching the threshold falls below TOLERANCE.
-4. What is left is verified exactly on whole shingle sets. Tasks give counts of links and at most
-   one edge per document, never the pairs.
+3. CHECKS further MinHash values are compared eight at a time; with m of n equal and a flat prior,
+   the similarity has the posterior Beta(m + 1, n - m + 1), and a pair is dropped once its
+   probability of reaching the threshold falls below TOLERANCE.
+4. Clusters of more than BLOCK documents may be chains of documents that share little. They are cut
+   first: only pairs that share a band key are compared, by their values alone, and what their
+   surviving pairs connect are the new clusters.
+5. Inside a cluster, in blocks, pairs are pruned and what is left is verified exactly on whole
+   shingle sets. Tasks give counts of links and at most one edge per document, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, small_batches, written
+from .common import connected_components, discard, place, quoted, renamed, small_batches, written
 from .words import chunks, mix, shingles, word_hashes
 
 NGRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
-BANDS, ROWS, CHECKS, STEP = 32, 5, 64, 8
+BANDS, ROWS, CHECKS, STEP = 32, 5, 128, 8
 BLOCK, TILE = 1024, 512
 _A = mix(np.arange(1, BANDS * ROWS + CHECKS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -144,6 +147,42 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+EDGES = "a long, b long"
+
+
+def _forest(batches, threshold: float):
+    """Of rows (key, x, y, side, node, checks) in order of the first three: edges that connect what surviving pairs of each group connect."""
+    limits = {k: least_matches(k, threshold) for k in range(STEP, CHECKS + 1, STEP)}
+
+    def group(sides, nodes, checks):
+        sig, side, nodes = np.frombuffer(b"".join(checks), np.uint32).reshape(-1, CHECKS), np.array(sides), np.array(nodes, np.int64)
+        # copies of one text mostly survive with the first of them, and are connected then
+        hub = (sig == sig[0]).sum(axis=1) >= limits[CHECKS]
+        ei, ej = [np.flatnonzero(hub)], [np.zeros(int(hub.sum()), np.int64)]
+        if not hub.all():
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for i, j in _pairs(sig[a], sig[b] if len(b) else sig[a], not len(b), limits):
+                i, j = a[i], (b if len(b) else a)[j]
+                root = _roots(len(nodes), i, j)
+                k = np.flatnonzero(root != np.arange(len(nodes)))
+                ei.append(k)
+                ej.append(root[k])
+        root = _roots(len(nodes), np.concatenate(ei), np.concatenate(ej))
+        k = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[k]), pa.array(nodes[root[k]])], ["a", "b"])
+
+    key, held = None, []
+    for batch in small_batches(batches):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if held:
+                    yield group(*zip(*held, strict=True))
+                key, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield group(*zip(*held, strict=True))
+
+
 LINKED = "node long, links long, root long"
 
 
@@ -190,6 +229,32 @@ def _link(batches, threshold: float):
         yield out
 
 
+def _in_blocks(rows: DataFrame, by: str, size: str, columns: list[str]) -> DataFrame:
+    """Rows of a group `by` of `size` rows dealt to a task for each two blocks of it: (by, x, y, side, *columns), in their order."""
+    m = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("m", m).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select(by, F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), F.when(F.col("i") > F.col("o"), 1).otherwise(0).alias("side"), *columns)
+    return rows.repartition(by, "x", "y").sortWithinPartitions(by, "x", "y")
+
+
+def _sized(clusters: DataFrame) -> DataFrame:
+    return clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+
+
+def _cut_chains(clusters: DataFrame, shared: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Clusters (node, component), those of more than BLOCK documents cut into what surviving pairs of one band key connect."""
+    sized = written(_sized(clusters), "sized")
+    large = sized.where(F.col("size") > BLOCK).select("node")
+    if large.isEmpty():
+        return sized
+    members = shared.join(large, "node").join(reps.select("node", "checks"), "node")
+    tasks = _in_blocks(members, "key", "n", ["node", "checks"])
+    edges = written(tasks.mapInArrow(lambda b: _forest(b, threshold), EDGES), "surviving")
+    again = connected_components(edges, "chains")
+    return written(_sized(sized.where(F.col("size") <= BLOCK).select("node", "component").union(again)), "cut")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links) for every document.
 
@@ -198,9 +263,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     document is linked to, copies included; class_id is the smallest id reachable over links.
     A document without words (null, empty, signs only) is linked to none. Rows of equal doc_id are
     one document, of which the greatest text counts; a null doc_id gives one row (null, null, 0)
-    for each such row. An empty table gives none. Only the two columns named are read.
+    for each such row. An empty table gives none. Ids are whole numbers.
+    Only the two columns named are read.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     known = rows.where("doc_id is not null")
     signed = written(known.mapInArrow(_sign, SIGNED), "signed")
     if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -212,18 +278,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     reps = signed.join(copies.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
     reps = written(reps.select(F.col("doc_id").alias("node"), "copies", "bands", "checks"), "representatives")
     keys = reps.select("node", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    stars = keys.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    clusters = written(connected_components(stars, "candidates"), "clusters")
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m"))
-    member = clusters.join(blocks, "component").select("node", "component", "m", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("i"))
-    member = member.join(reps.select("node", "copies", "checks"), "node")
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keys.join(heads, "key"), "shared-keys")
+    stars = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    clusters = _cut_chains(connected_components(stars, "candidates"), shared.select("node", "key", "n"), reps, threshold)
+    member = clusters.join(reps.select("node", "copies", "checks"), "node")
     member = member.join(known.select(F.col("doc_id").alias("node"), "text"), "node")
     # a cluster of m blocks is a task for each two blocks, and each member goes to m of them
-    other = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")
-    tasks = member.select("component", "i", other, "node", "copies", "checks", "text")
-    tasks = tasks.select("component", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), F.when(F.col("i") > F.col("o"), 1).otherwise(0).alias("side"), "node", "copies", "checks", "text")
-    tasks = tasks.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    tasks = _in_blocks(member, "component", "size", ["node", "copies", "checks", "text"])
     found = written(tasks.mapInArrow(lambda b: _link(b, threshold), LINKED), "links")
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -240,9 +302,11 @@ def keep_first_of_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
     Of rows of equal id, one stays: the first by text, greatest first, then by the other columns.
     """
-    marks = near_duplicates(docs, text, doc_id, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__keep"))
-    out = docs.join(marks, docs[doc_id].cast("long") == F.col("__keep"), "left_semi")
+    rows, names = renamed(docs)
+    text, doc_id = (f"c{place(names, c)}" for c in (text, doc_id))
+    marks = near_duplicates(rows, text, doc_id, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("keep"))
+    out = rows.join(marks, F.col(doc_id).cast("long") == F.col("keep"), "left_semi")
     if not out.groupBy(doc_id).count().where("count > 1").isEmpty():
-        order = [F.col(text).desc(), *(F.col(f"`{c}`").asc() for c in docs.columns if c != text)]
-        out = out.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))).where("__n = 1").drop("__n")
-    return out.unionByName(docs.where(F.col(doc_id).isNull()))
+        order = [F.col(text).desc(), *(F.col(c).asc() for c in rows.columns if c != text)]
+        out = out.withColumn("n", F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))).where("n = 1").drop("n")
+    return out.union(rows.where(F.col(doc_id).isNull())).toDF(*names)

@@ -85,6 +85,35 @@ def test_blocks_equal_whole(monkeypatch):
     assert whole == {k: v[1] for k, v in want.items() if v[1]}
 
 
+def test_chain_of_other_documents(spark):
+    """50,000 texts that share a template, so that bands chain them all, and a few copies among them: clusters are cut to what survives."""
+    r, n = random.Random(3), 50_000
+    template = [f"t{k}" for k in range(40)]
+    docs = [(k, " ".join(template + [f"u{k}x{j}" for j in range(26)])) for k in range(n)]
+    for k in range(0, 300, 3):  # near copies, some of them of one another
+        docs.append((n + k, docs[7 * (k // 9)][1] + f" end{k}"))
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jj.near_duplicates(df).collect()}
+    want = brute([(d, t) for d, t in docs if d >= n or d in {7 * (k // 9) for k in range(0, 300, 3)}])
+    assert {d: got[d] for d in want} == want
+    assert all(v == (d, 0) for d, v in got.items() if d not in want)
+
+
+def test_cut_chains_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 4)
+    docs = corpus(9, 10, 12)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: (x.class_id, x.n_links) for x in jj.near_duplicates(df).collect()} == brute(docs)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, None, "z")], "doc_id long, text string, q string")
+    df = df.selectExpr("doc_id", "text", "q", "1 as __keep", "2 as `a.b`", "3 as keep", "4 as n", "5 as c0")
+    out = jj.keep_first_of_class(df)
+    assert out.columns == df.columns and sorted(r.q for r in out.collect()) == ["x", "z"]
+
+
 def test_pruning_keeps_what_can_reach():
     assert [jj.least_matches(n) for n in (8, 16, 64)] == sorted(jj.least_matches(n) for n in (8, 16, 64))
     assert jj.least_matches(64) < 40
