@@ -3,7 +3,8 @@
 Each fixed mask picks some of a run of words and ignores the rest, so a run with substituted words
 at ignored places keeps its hash. Hashes of the benchmark are joined to those of the documents;
 around each hit the two texts are laid over each other word by word, and the run of highest score
-(a match 1, a substitution -1) is the overlap.
+(a match 1, a substitution -1) is the overlap. An overlap counts if it has at least MATCHES equal
+words and COVER of the item, or RUN equal words one after another, whatever share of the item they are.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fields, place, quoted, renamed, small_batches
 from .words import GOLD, chunks, mix, word_hashes
 
-MASKS = ("110110011", "101110101", "111001011", "1101010011")
-COVER, MATCHES, BLOCK_BYTES = 0.5, 8, 32 << 20
+#: The last one finds every MATCHES equal words in a row.
+MASKS = ("110110011", "101110101", "111001011", "1101010011", "11111111")
+COVER, MATCHES, RUN, BLOCK_BYTES = 0.5, 8, 13, 32 << 20
+#: Bounds of what is looked at in one go: hits of seeds, and cells of hits by words.
+HITS, CELLS = 1 << 19, 1 << 21
 OUT = "doc_id long, item_id long, matches long, overlap long, item_words long, doc_start long, item_start long"
 
 
@@ -57,50 +61,78 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def overlaps(self, texts: list[str | None], cover: float = COVER, least: int = MATCHES) -> list[np.ndarray]:
-        """Arrays: text, item, matches, overlap, words of the item, start in the text, start in the item; the best of each pair."""
-        words, offsets = word_hashes(texts)
+    def _hits(self, words: np.ndarray, offsets: np.ndarray):
+        """(text, item, place of the item's start among the words) of seeds in common, HITS at most at a time."""
         found = []
         for m, mask in enumerate(self.masks):
             h = _seeds(words, mask, m)
             p = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, h[p], "left"), np.searchsorted(self.hashes, h[p], "right")
-            n = hi - lo
-            p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
-            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            p = np.repeat(p, n)
-            found.append(np.stack([np.searchsorted(offsets, p, side="right") - 1, self.item[k], p - self.place[k]]))
-        hits = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-        doc, item, diagonal = hits
-        length = np.diff(self.offsets)[item]
-        rows = [np.zeros((7, 0), np.int64)]
-        for a in range(0, len(doc), 4096):
-            d, i, g, n = doc[a : a + 4096], item[a : a + 4096], diagonal[a : a + 4096], length[a : a + 4096]
-            k = np.arange(int(n.max()))
-            at = g[:, None] + k
-            inside = (k < n[:, None]) & (at >= offsets[d][:, None]) & (at < offsets[d + 1][:, None])
-            same = inside & (words[np.where(inside, at, 0)] == self.words[np.where(inside, self.offsets[i][:, None] + k, 0)])
-            gain = np.where(inside, np.where(same, 1, -1), -(10**6))
-            total = np.concatenate([np.zeros((len(d), 1), np.int64), np.cumsum(gain, axis=1)], axis=1)
-            low = np.minimum.accumulate(total[:, :-1], axis=1)
-            end = np.argmax(total[:, 1:] - low, axis=1)
-            row = np.arange(len(d))
-            first = np.argmax((total[:, :-1] == low[row, end][:, None]) & (k <= end[:, None]), axis=1)
-            hit = np.concatenate([np.zeros((len(d), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-            matches = hit[row, end + 1] - hit[row, first]
-            ok = (matches >= np.minimum(least, n)) & (matches >= cover * n)
-            rows.append(np.stack([d, i, matches, end + 1 - first, n, g + first - offsets[d], first])[:, ok])
-        out = np.concatenate(rows, axis=1)
-        order = np.lexsort((out[6], out[5], -out[2], out[1], out[0]))
-        out = out[:, order]
-        new = np.ones(out.shape[1], bool)
-        new[1:] = (out[0, 1:] != out[0, :-1]) | (out[1, 1:] != out[1, :-1])
-        return list(out[:, new])
+            found.append(np.stack([p, lo, hi])[:, hi > lo])
+        p, lo, hi = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        order = np.argsort(p, kind="stable")
+        p, lo, hi = p[order], lo[order], hi[order]
+        ends = np.cumsum(hi - lo)
+        at, total = 0, int(ends[-1]) if len(ends) else 0
+        while at < total:
+            # hits at to at + HITS, whichever seeds they are of
+            a, z = np.searchsorted(ends, [at, min(at + HITS, total) - 1], side="right")
+            k = np.arange(at, min(at + HITS, total))
+            seed = a + np.searchsorted(ends[a : z + 1], k, side="right")
+            entry = hi[seed] - (ends[seed] - k)
+            hit = np.stack([np.searchsorted(offsets, p[seed], side="right") - 1, self.item[entry], p[seed] - self.place[entry]])
+            yield np.unique(hit, axis=1)
+            at += HITS
+
+    def _best(self, hits: np.ndarray, words: np.ndarray, offsets: np.ndarray, cover: float, least: int) -> np.ndarray:
+        """Of hits the best runs that count: text, item, matches, overlap, words of the item, start in the text, start in the item."""
+        d, i, g = hits
+        n = np.diff(self.offsets)[i]
+        skip = np.maximum(0, offsets[d] - g)  # words of the item before the text
+        width = np.minimum(n, offsets[d + 1] - g) - skip
+        k = np.arange(int(width.max()))
+        inside = k < width[:, None]
+        at = np.where(inside, (g + skip)[:, None] + k, 0)
+        same = inside & (words[at] == self.words[np.where(inside, (self.offsets[i] + skip)[:, None] + k, 0)])
+        gain = np.where(inside, np.where(same, 1, -1), -(10**6)).astype(np.int32)
+        total = np.zeros((len(d), len(k) + 1), np.int32)
+        np.cumsum(gain, axis=1, out=total[:, 1:])
+        low = np.minimum.accumulate(total[:, :-1], axis=1)
+        end = np.argmax(total[:, 1:] - low, axis=1)
+        row = np.arange(len(d))
+        first = np.argmax((total[:, :-1] == low[row, end][:, None]) & (k <= end[:, None]), axis=1)
+        hit = np.zeros((len(d), len(k) + 1), np.int32)
+        np.cumsum(same, axis=1, out=hit[:, 1:])
+        matches = hit[row, end + 1] - hit[row, first]
+        run = (k - np.maximum.accumulate(np.where(same, -1, k), axis=1)).max(axis=1)
+        ok = ((matches >= np.minimum(least, n)) & (matches >= cover * n)) | (run >= RUN)
+        return np.stack([d, i, matches, end + 1 - first, n, g + skip + first - offsets[d], skip + first])[:, ok]
+
+    def overlaps(self, texts: list[str | None], cover: float = COVER, least: int = MATCHES) -> list[np.ndarray]:
+        """Arrays: text, item, matches, overlap, words of the item, start in the text, start in the item; the best of each pair."""
+        words, offsets = word_hashes(texts)
+        out = np.zeros((7, 0), np.int64)
+        for hits in self._hits(words, offsets):
+            # the widest first, so that a slice is as wide as its first
+            d, i, g = hits
+            width = np.minimum(np.diff(self.offsets)[i], offsets[d + 1] - g) - np.maximum(0, offsets[d] - g)
+            hits, width = hits[:, np.argsort(-width, kind="stable")], np.sort(width)[::-1]
+            rows, a = [out], 0
+            while a < len(width):
+                z = a + max(1, CELLS // int(width[a]))
+                rows.append(self._best(hits[:, a:z], words, offsets, cover, least))
+                a = z
+            out = np.concatenate(rows, axis=1)
+            out = out[:, np.lexsort((out[6], out[5], -out[2], out[1], out[0]))]
+            new = np.ones(out.shape[1], bool)
+            new[1:] = (out[0, 1:] != out[0, :-1]) | (out[1, 1:] != out[1, :-1])
+            out = out[:, new]
+        return list(out)
 
 
 def _indexes(benchmark: DataFrame, text: str, item_id: str):
     """Indexes over all items, each of a bounded number of bytes; one for most benchmarks."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null and i is not null")
+    items = benchmark.select(quoted(item_id).cast("long").alias("i"), quoted(text).alias("t")).where("t is not null and i is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = int(-(-size // BLOCK_BYTES)) or 1
     for b in range(blocks):
@@ -109,14 +141,14 @@ def _indexes(benchmark: DataFrame, text: str, item_id: str):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", cover: float = COVER, least: int = MATCHES) -> DataFrame:
-    """One row for each document and item that overlap in at least `least` words and `cover` of the item.
+    """One row for each document and item that overlap in at least `least` words and `cover` of the item, or in RUN words in a row.
 
-    An item of fewer than `least` words must be whole. Null, empty and wordless texts overlap
+    Ids are whole numbers. An item of fewer than `least` words must be whole. Null, empty and wordless texts overlap
     nothing; repeated documents each give their rows; items of equal id are one item of several
     texts. A null document id stays null. The benchmark is read in blocks of BLOCK_BYTES, each sent
     to the executors and joined to all documents, so what is broadcast is bounded.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("d"), quoted(text).alias("x"))
     spark, out = docs.sparkSession, None
     for index in _indexes(benchmark, text, item_id):
         shared = spark.sparkContext.broadcast(index)
@@ -137,9 +169,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", cover: float = COVER, least: int = MATCHES) -> DataFrame:
     """`docs` without the rows that overlap an item as `contamination` has it; no shuffle. Null texts stay."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
+    rows, names = renamed(docs)
+    at = place(names, text)
     for index in _indexes(benchmark, text, item_id):
-        shared = spark.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
@@ -149,5 +182,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                     keep[index.overlaps(texts[a:z], cover, least)[0] + a] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.mapInArrow(run, fields(rows).rstrip(", "))
+    return rows.toDF(*names)
