@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc) of yes-or-no labels by sums of mean ranks; null if a label is missing.
 
-    Ranks come from counts by score, added up over score buckets, so no task ranks every row.
+def running(rows: DataFrame, order: str, *values: str, ascending: bool = True) -> DataFrame:
+    """`rows` with `before_x` for each value x: its sum over the rows before in `order`, which has no ties.
+
+    A range sort; each partition adds up its own rows, and only partitions' totals go through one task.
     """
+    by = F.col(order).asc() if ascending else F.col(order).desc()
+    part = kept(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    totals = part.groupBy("part").agg(*(F.sum(v).alias(v) for v in values))
+    totals = totals.select("part", *(F.coalesce(F.sum(v).over(over), F.lit(0)).alias(f"base_{v}") for v in values))
+    part = part.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"in_{v}") for v in values)).join(totals, "part")
+    return part.select(*rows.columns, *((F.col(f"base_{v}") + F.col(f"in_{v}")).alias(f"before_{v}") for v in values))
+
+
+def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """(auc) of yes-or-no labels by sums of mean ranks; null if a label is missing. Rows are counted by score first."""
     n = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("p"))
-    before = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    n = n.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
+    n = running(n, "s", "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     t = n.agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), F.sum(F.col("rank") * F.col("p")).alias("r"))
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -21,8 +34,8 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """(ap): precision at each score that adds true rows, weighted by how many; equal scores are taken together."""
     n = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("p"))
-    down = Window.orderBy(F.col("s").desc())
-    n = n.select("p", (F.sum("p").over(down) / F.sum("n").over(down)).alias("precision"))
+    n = running(n, "s", "n", "p", ascending=False)
+    n = n.select("p", ((F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))).alias("precision"))
     return n.agg((F.sum(F.col("p") * F.col("precision")) / F.sum("p")).alias("ap"))
 
 
@@ -37,14 +50,14 @@ def project(nodes: DataFrame, vector: str, weights: list[list[float]], name: str
     return nodes.withColumn(name, F.array(*rows))
 
 
-def pair_decoder(pairs: DataFrame, nodes: DataFrame, left: list[list[float]], right: list[list[float]], bias: list[float], out: list[float]) -> DataFrame:
-    """`pairs` (u, v) with `score`: sigmoid(out . relu(left x_u + right x_v + bias)).
+def pair_decoder(pairs: DataFrame, nodes: DataFrame, left: list[list[float]], right: list[list[float]], bias: list[float], out: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """`pairs` (*by, u, v) with `score`: sigmoid(out . relu(left x_u + right x_v + bias)).
 
     The first layer is split by sides and computed once for each node, before the joins, so a pair only adds two short vectors.
     """
-    a = project(nodes, "vector", left, "a").select(F.col("node").alias("u"), "a")
-    b = project(nodes, "vector", right, "b").select(F.col("node").alias("v"), "b")
-    rows = pairs.join(a, "u").join(b, "v")
+    a = project(nodes, "vector", left, "a").select(*by, F.col("node").alias("u"), "a")
+    b = project(nodes, "vector", right, "b").select(*by, F.col("node").alias("v"), "b")
+    rows = pairs.join(a, [*by, "u"]).join(b, [*by, "v"])
     hidden = F.zip_with(F.zip_with("a", "b", lambda x, y: x + y), F.array(*map(F.lit, bias)), lambda x, y: F.greatest(x + y, F.lit(0.0)))
     z = F.aggregate(F.zip_with(hidden, F.array(*map(F.lit, out)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return rows.select(*pairs.columns, (1 / (1 + F.exp(-z))).alias("score"))

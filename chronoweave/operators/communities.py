@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cores import _own_checkpoint_dir, components, peel, peel_component
+from ..tables import drop, kept
+from .cores import components, connected, peel, peel_component
 from .snapshots import adjacency, edge_history
 
 
@@ -101,42 +102,60 @@ def threshold_bfs(queries: DataFrame, edges: DataFrame, predicted: DataFrame) ->
     Gives (query, k, t, node, pred, layer, inside) of every node looked at - those under k are counted
     but not passed - and (query, k, t, layers).
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        _own_checkpoint_dir(spark)
     key = ["query", "k", "t"]
     hist = edge_history(edges)
-    adj = hist.select("u", "v", "first_t").union(hist.select("v", "u", "first_t")).toDF("a", "b", "first_t").checkpoint()
+    adj = kept(hist.select("u", "v", "first_t").union(hist.select("v", "u", "first_t")).toDF("a", "b", "first_t"))
     pred = predicted.select("t", "node", "pred")
 
     def look(rows: DataFrame, layer: int) -> DataFrame:
         out = rows.join(pred, ["t", "node"], "left").withColumn("pred", F.coalesce("pred", F.lit(0)))
-        return out.select(*key, "node", "pred", F.lit(layer).alias("layer"), (F.col("pred") >= F.col("k")).alias("inside")).checkpoint()
+        return out.select(*key, "node", "pred", F.lit(layer).alias("layer"), (F.col("pred") >= F.col("k")).alias("inside"))
 
     layer = 1
-    front = look(queries.select(*key, F.col("query").alias("node")).distinct(), layer)
+    front = kept(look(queries.select(*key, F.col("query").alias("node")).distinct(), layer))
     seen = front
     while True:
+        # layers are only added to each other: none is written twice
         near = front.where("inside").join(adj, F.col("node") == F.col("a")).where("first_t <= t").select(*key, F.col("b").alias("node")).distinct()
         near = near.join(seen.select(*key, "node"), [*key, "node"], "left_anti")
         layer += 1
-        front = look(near, layer)
+        front = kept(look(near, layer))
         if front.isEmpty():
+            drop(front)
             break
-        seen = seen.union(front).checkpoint()
+        seen = seen.union(front)
     return seen, seen.groupBy(*key).agg(F.max("layer").alias("layers"))
 
 
-def cumulative_components(predicted: DataFrame, edges: DataFrame, k: int, t: int) -> DataFrame:
-    """(node, component_id) of nodes predicted at k or more, over all edges met up to t; each such node has a row."""
-    from .cores import connected
+def cumulative_components(predicted: DataFrame, edges: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(t, k, node, component_id) of nodes predicted (t, node, pred) at k or more, over all edges met up to t; each such node has a row."""
+    ok = predicted.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("pred >= k").select("t", "k", "node")
+    u = edge_history(edges).join(ok.withColumnRenamed("node", "u"), "u").where("first_t <= t").select("t", "k", "u", "v")
+    inner = u.join(ok.withColumnRenamed("node", "v"), ["t", "k", "v"], "left_semi")
+    found = connected(inner.select("t", "k", "u", "v"), ["t", "k"])
+    return ok.join(found, ["t", "k", "node"], "left").select("t", "k", "node", F.coalesce("component_id", "node").alias("component_id"))
 
-    ok = predicted.where((F.col("t") == t) & (F.col("pred") >= k)).select("node")
-    met = edges.where(F.col("t") <= t).select("u", "v").distinct()
-    inner = met.join(ok.select(F.col("node").alias("u")), "u", "left_semi").join(ok.select(F.col("node").alias("v")), "v", "left_semi")
-    found = connected(inner.withColumn("g", F.lit(0)), ["g"]).select("node", "component_id")
-    return ok.join(found, "node", "left").select("node", F.coalesce("component_id", "node").alias("component_id"))
 
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(t, a, neighbours): each node's neighbours in each snapshot, sorted."""
+    return adjacency(edges).groupBy("t", "a").agg(F.sort_array(F.collect_list("b")).alias("neighbours"))
 
-def neighbours_now(edges: DataFrame, t: int) -> DataFrame:
-    return adjacency(edges.where(F.col("t") == t)).groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("neighbours"))
+
+def recover_components(queries: DataFrame, candidates_: DataFrame, scored: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
+    """(query, k, t, node): of each query its component in the k-core of the candidates' edges whose score (query, k, t, u, v, score)
+    reaches the threshold; a query that isn't among its own candidates has none."""
+    key = ["query", "k", "t"]
+    own = queries.select(*key).join(candidates_.where("node = query").select(*key), key, "left_semi")
+    inside = scored.where(over(F.col("score"), threshold, strict))
+    for side in "uv":
+        inside = inside.join(candidates_.select(*key, F.col("node").alias(side)), [*key, side], "left_semi")
+    return peel_queries(own, inside.select(*key, "u", "v"))
+
+
+def extend_index(index: DataFrame, queries: DataFrame, kcore: DataFrame, t: int) -> DataFrame:
+    """The incremental candidate index (query, k, node) after snapshot t: of the queries (query, k) that are in a k-core at t,
+    the members of their component join their candidates. Only what isn't there yet is added; candidates never leave."""
+    now = kcore.where(F.col("t") == t).select("k", "component_id", "node")
+    own = queries.select("query", "k").distinct().join(now.withColumnRenamed("node", "query"), ["query", "k"])
+    more = own.join(now, ["k", "component_id"]).select("query", "k", "node")
+    return index.unionByName(more.join(index, ["query", "k", "node"], "left_anti"))

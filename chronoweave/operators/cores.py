@@ -9,36 +9,44 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import use_checkpoints
+
 KERNEL_EDGES = 5_000_000
 
 
 def peel(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, coreness) of a simple graph: buckets of nodes by degree, the least taken first."""
+    """(nodes, coreness) of a simple graph: rounds take all nodes of the least degree left. A node is looked at when
+    its degree changes, so the work follows the edges, however many rounds there are."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
     n, m = len(nodes), len(u)
     a, b = flat[:m], flat[m:]
     ends = np.concatenate([a, b])
-    order = np.argsort(ends, kind="stable")
-    near = np.concatenate([b, a])[order]
+    near = np.concatenate([b, a])[np.argsort(ends, kind="stable")]
     degree = np.bincount(ends, minlength=n)
     start = np.concatenate([[0], np.cumsum(degree)])
-    left = degree.copy()
-    core = np.zeros(n, np.int64)
-    gone = np.zeros(n, bool)
-    k = 0
-    alive = np.arange(n)
-    while len(alive):
-        now = alive[left[alive] <= k]
-        if not len(now):
-            k = int(left[alive].min())
-            continue
-        core[now], gone[now] = k, True
-        reach = np.concatenate([near[start[i] : start[i + 1]] for i in now])
-        left -= np.bincount(reach[~gone[reach]], minlength=n)
-        alive = alive[~gone[alive]]
+    left, core, gone = degree.copy(), np.zeros(n, np.int64), np.zeros(n, bool)
+    # nodes wait under their degree, once more each time it falls
+    order = np.argsort(degree, kind="stable")
+    cut = np.searchsorted(degree[order], np.arange(int(degree.max()) + 2 if n else 1))
+    waiting = [[order[s:e]] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+    for k in range(len(waiting)):
+        while waiting[k]:
+            now = np.unique(np.concatenate(waiting[k]))
+            waiting[k] = []
+            now = now[~gone[now]]  # one that waits higher up too has gone when its turn comes there
+            if not len(now):
+                continue
+            core[now], gone[now] = k, True
+            size = start[now + 1] - start[now]
+            reach = near[np.repeat(start[now] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            reach, less = np.unique(reach[~gone[reach]], return_counts=True)
+            left[reach] -= less
+            level = np.maximum(left[reach], k)
+            for d in np.unique(level):
+                waiting[d].append(reach[level == d])
     return nodes, core
 
 
@@ -77,35 +85,32 @@ def _coreness_kernel(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.select(*by, "u", "v").groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", node long, core int")
 
 
-def h_index(values: Column | str) -> Column:
-    """The greatest h so that h of the values are at least h."""
-    return F.size(F.filter(F.sort_array(values, asc=False), lambda x, i: x > i))
+def h_indexes(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(*by, name): of each group the greatest h so that h of its values are at least h.
+
+    Values are counted first, so a hub's neighbours never stand in one row: a group has as many rows as different values.
+    """
+    n = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("of_value"))
+    over = F.sum("of_value").over(Window.partitionBy(*by).orderBy(F.col(value).desc()))
+    return n.withColumn("of_value", F.least(over, F.col(value))).groupBy(*by).agg(F.max("of_value").cast("int").alias(name))
 
 
 def coreness_by_joins(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The same by joins: h-indexes of the neighbours' values from the degrees on, until none changes. Lineage is cut each round by checkpoint()."""
     by = by or ["t"]
-    if not edges.sparkSession.sparkContext.getCheckpointDir():
-        _own_checkpoint_dir(edges.sparkSession)
+    use_checkpoints(edges.sparkSession)
     sides = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("u", "v"), ("v", "u"))]
     adj = edges.select(*by, F.explode(F.array(*sides)).alias("x")).select(*by, "x.a", "x.b").checkpoint()
     core = adj.groupBy(*by, "a").agg(F.count(F.lit(1)).cast("int").alias("core")).checkpoint()
     while True:
         near = core.select(*by, F.col("a").alias("b"), F.col("core").alias("c"))
-        new = adj.join(near, [*by, "b"]).groupBy(*by, "a").agg(h_index(F.collect_list("c")).alias("new"))
+        new = h_indexes(adj.join(near, [*by, "b"]), [*by, "a"], "c", "new")
         both = core.join(new, [*by, "a"]).checkpoint()
         core = both.select(*by, "a", F.col("new").cast("int").alias("core"))
         if both.where("core <> new").isEmpty():
             return core.select(*by, F.col("a").alias("node"), "core")
 
 
-def _own_checkpoint_dir(spark) -> None:
-    import tempfile
-
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="chronoweave-"))
-
-
 def connected(edges: DataFrame, by: list[str], kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(*by, node, component_id) of graphs (*by, u, v); component_id is the least node."""
     large = edges.groupBy(*by).count().where(F.col("count") > kernel_edges).select(*by)
@@ -126,8 +131,7 @@ def _connected_kernel(edges: DataFrame, by: list[str]) -> DataFrame:
 
 def connected_by_joins(edges: DataFrame, by: list[str]) -> DataFrame:
     """The same by joins: labels spread to neighbours and along themselves until none changes."""
-    if not edges.sparkSession.sparkContext.getCheckpointDir():
-        _own_checkpoint_dir(edges.sparkSession)
+    use_checkpoints(edges.sparkSession)
     sides = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("u", "v"), ("v", "u"), ("u", "u"), ("v", "v"))]
     adj = edges.select(*by, F.explode(F.array(*sides)).alias("x")).select(*by, "x.a", "x.b").distinct().checkpoint()
     label = adj.groupBy(*by, "a").agg(F.min("b").alias("l")).checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cores import _own_checkpoint_dir
+from ..tables import kept, use_checkpoints
 from .snapshots import adjacency
 
 ALPHA, BETA, TOP, LEAST = 0.3, 0.5, 20, 1e-8
@@ -37,20 +37,40 @@ def advance(state: DataFrame, norms: DataFrame, snapshot: DataFrame, t: int, alp
 
 
 def stream(edges: DataFrame, times: list[int], alpha: float = ALPHA, beta: float = BETA, top: int | None = TOP, least: float = LEAST):
-    """Yields (t, state, norms) over all snapshots in order; each state is checkpointed, as the next reads it several times."""
+    """Yields (t, state, norms) over all snapshots in order. State and norms of a snapshot are one written table, as the
+    next one reads them several times; edges that are stored by t are read a snapshot at a time."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        _own_checkpoint_dir(spark)
     state, norms = spark.createDataFrame([], STATE), spark.createDataFrame([], NORMS)
     before = -1
     for t in times:
         if t <= before:
             raise ValueError("snapshots only move forward")
         state, norms = advance(state, norms, edges.where(F.col("t") == t), t, alpha, beta, top, least)
-        state, norms, before = state.checkpoint(), norms.checkpoint(), t
+        # a norm is a row without a node
+        none = (F.lit(None).cast(k).alias(c) for c, k in (("node", "long"), ("time", "int")))
+        both = kept(state.select("src", "node", "time", "score").union(norms.select("src", *none, F.col("norm").alias("score"))))
+        state, norms, before = both.where("node is not null"), both.where("node is null").select("src", F.col("score").alias("norm")), t
         yield t, state, norms
 
 
+def answers_at(edges: DataFrame, queries: DataFrame | None, times: list[int], first: int = 20, **how) -> DataFrame:
+    """(t, src, node, time, score, weight): the answers of each query (src, t) as of just after snapshot t, from one pass over the
+    snapshots up to the last of `times`; without queries, those of every source at those times. A source not seen yet has none."""
+    wanted, out = set(times), None
+    for t, state, _ in stream(edges, list(range(max(wanted) + 1)), **how):
+        if t in wanted:
+            if queries is not None:
+                state = state.join(queries.where(F.col("t") == t).select("src").distinct(), "src", "left_semi")
+            rows = top_answers(state, first).select(F.lit(t).alias("t"), "src", "node", "time", "score", "weight")
+            out = rows if out is None else out.union(rows)
+    return out
+
+
+def log_ages(answers: DataFrame) -> DataFrame:
+    """`answers` with `age`: log1p of the snapshots from an influence's own time to the query's."""
+    return answers.withColumn("age", F.log1p((F.col("t") - F.col("time")).cast("double")))
+
+
 def top_answers(state: DataFrame, first: int = 20) -> DataFrame:
     """(src, node, time, score, weight): the first entries of each source; weights are their shares."""
     rows = state.withColumn("r", F.row_number().over(_rank("src"))).where(F.col("r") <= first)
@@ -70,11 +90,10 @@ def transitions(edges: DataFrame, before: int, beta: float = BETA) -> DataFrame:
     return rows.select("a", "b", F.col("t").alias("time"), (F.col("w") / F.sum("w").over(Window.partitionBy("a"))).alias("p"))
 
 
-def exact(edges: DataFrame, sources: DataFrame, t: int, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
-    """(src, node, time, score) of the exact walk from (src, after t): strictly back in time, ending with alpha at each node but the source."""
+def exact(edges: DataFrame, sources: DataFrame, t: int, alpha: float = ALPHA, beta: float = BETA, top: int | None = None) -> DataFrame:
+    """(src, node, time, score) of the exact walk from (src, after t): strictly back in time, ending with alpha at each node but the source. top: of each source the first so many."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        _own_checkpoint_dir(spark)
+    use_checkpoints(spark)
     hist = adjacency(edges.where(F.col("t") <= t)).select("a", "b", F.col("t").alias("time")).checkpoint()
     # chances for every bound at once: an edge's age counts the node's later snapshots before the bound
     at = hist.select("a", "time").distinct()
@@ -93,14 +112,15 @@ def exact(edges: DataFrame, sources: DataFrame, t: int, alpha: float = ALPHA, be
         walk = moved.select("src", F.col("b").alias("a"), F.col("time").alias("bound"), "mass")
     if found is None:
         return spark.createDataFrame([], STATE)
-    return found.groupBy("src", "node", "time").agg(F.sum("score").alias("score"))
+    out = found.groupBy("src", "node", "time").agg(F.sum("score").alias("score"))
+    return out if top is None else out.withColumn("r", F.row_number().over(_rank("src"))).where(F.col("r") <= top).drop("r")
 
 
-def weighted_structure(answers: DataFrame, shares: DataFrame, t_of: str = "time") -> DataFrame:
-    """(src, block, bucket, value): structure of the influences at their own times, by weight; an absent node has all in bucket 0."""
+def weighted_structure(answers: DataFrame, shares: DataFrame, t_of: str = "time", by: tuple[str, ...] = ("src",)) -> DataFrame:
+    """(*by, block, bucket, value): structure of the influences at their own times, by weight; an absent node has all in bucket 0."""
     s = shares.select(F.col("t").alias(t_of), "node", "block", "bucket", "share")
     found = answers.join(s, [t_of, "node"], "left")
     blocks = F.explode(F.array(*(F.lit(b) for b in ("h1", "h2", "h3", "core"))))
     none = found.where("block is null").withColumn("block", blocks).withColumn("bucket", F.lit(0)).withColumn("share", F.lit(1.0))
     rows = found.where("block is not null").unionByName(none)
-    return rows.groupBy("src", "block", "bucket").agg(F.sum(F.col("weight") * F.col("share")).alias("value"))
+    return rows.groupBy(*by, "block", "bucket").agg(F.sum(F.col("weight") * F.col("share")).alias("value"))

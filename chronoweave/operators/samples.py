@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.edge_log import dense_ids
+from ..tables import kept
 from .snapshots import first_seen
 
 KS = (3, 4, 5, 6, 7)
@@ -110,6 +112,24 @@ def truths(queries: DataFrame, kcore: DataFrame) -> DataFrame:
     return found.withColumn("community", F.coalesce("community", F.array().cast("array<bigint>")))
 
 
+def truth_members(queries: DataFrame, kcore: DataFrame) -> DataFrame:
+    """(query, k, t, node): the same truths, a row for each member."""
+    own = kcore.select((F.col("t") - 1).alias("t"), "k", F.col("node").alias("query"), "component_id")
+    parts = kcore.select((F.col("t") - 1).alias("t"), "k", "component_id", "node")
+    return queries.select("query", "k", "t").join(own, ["t", "k", "query"]).join(parts, ["t", "k", "component_id"]).select("query", "k", "t", "node")
+
+
+def sampled(queries: DataFrame, dataset: str, fractions: dict[str, Fraction] | None = None) -> DataFrame:
+    """The share of a cohort that is drawn for a dataset; whole for most."""
+    share = (SAMPLE_FRACTIONS if fractions is None else fractions).get(dataset, Fraction(1))
+    return queries if share == 1 else stratified_downsample(queries, float(share))
+
+
+def cohort_name(dataset: str, fractions: dict[str, Fraction] | None = None) -> str:
+    """The name under which a dataset's cohort is kept: its share is told by a suffix."""
+    return dataset + fraction_suffix((SAMPLE_FRACTIONS if fractions is None else fractions).get(dataset, Fraction(1)))
+
+
 def stratified_downsample(queries: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """A share of (query, k, t, empty), by largest remainders over (t, k, empty); the whole count is rounded half to even, one at least."""
     if not 0 < fraction <= 1:
@@ -125,7 +145,7 @@ def stratified_downsample(queries: DataFrame, fraction: float, seed: int = 42) -
     sizes = sizes.withColumn("r", order).withColumn("left", F.lit(target) - F.sum("base").over(Window.partitionBy()))
     quota = sizes.select(*by, (F.col("base") + (F.col("r") <= F.col("left")).cast("int")).alias("quota"))
     pick = F.row_number().over(Window.partitionBy(*by).orderBy(unit(F.lit(seed), "t", "k", "query"), "query"))
-    return queries.withColumn("pick", pick).join(F.broadcast(quota), by).where("pick <= quota").drop("pick", "quota")
+    return queries.withColumn("pick", pick).join(quota, by).where("pick <= quota").drop("pick", "quota")
 
 
 def fraction_suffix(fraction: Fraction) -> str:
@@ -141,25 +161,47 @@ def check_cohort(queries: DataFrame, n: int, start: int) -> DataFrame:
     return queries.withColumn("fault", fault).where("fault is not null").select("query", "k", "t", "fault")
 
 
-def negative_edges(edges: DataFrame, nodes: DataFrame, seed: int = 42, rounds: int = 3) -> DataFrame:
+def negative_edges(edges: DataFrame, nodes: DataFrame, seed: int = 42, rounds: int = 40) -> DataFrame:
     """(t, u, v): for each edge of t + 1 a pair of nodes seen up to t that isn't one of its edges, drawn evenly with
-    replacement by hash; a pair that is an edge or a loop is drawn again up to `rounds` times and then left out."""
-    seen = first_seen(nodes)
+    replacement by hash; a pair that is an edge or a loop is drawn again. None is left out: where a snapshot has no such
+    pair, or `rounds` draws don't find one, it is an error.
+
+    Nodes are numbered by when they were first seen, so that those seen up to t are the first ones: a draw is a number
+    under their count, and no list of nodes is made for each time.
+    """
+    order = dense_ids(first_seen(nodes).withColumn("at", F.struct("first_t", "node")), "at", "i").select("node", "first_t", "i")
     times = edges.select((F.col("t") - 1).alias("t"), "u", "v").where("t >= 0")
-    known = seen.join(times.select("t").distinct(), F.col("first_t") <= F.col("t"))  # nodes x times, as samples are
-    known = known.withColumn("i", F.row_number().over(Window.partitionBy("t").orderBy("node")) - 1)
-    count = known.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    left, out = times.join(count, "t").withColumn("key", F.concat_ws(":", "t", "u", "v")), None
+    new = order.groupBy("first_t").agg(F.count(F.lit(1)).alias("new"))  # one row for each snapshot with new nodes, as `at`
+    at = times.select("t").distinct()
+    count = at.join(new, F.col("first_t") <= F.col("t")).groupBy("t").agg(F.sum("new").alias("n"))
+    known = times.join(order.select(F.col("node").alias("u"), F.col("first_t").alias("fu")), "u").join(order.select(F.col("node").alias("v"), F.col("first_t").alias("fv")), "v")
+    pairs = known.where("fu <= t and fv <= t").groupBy("t").agg(F.count(F.lit(1)).alias("taken"))
+    full = at.join(count, "t", "left").join(pairs, "t", "left").where("coalesce(n, 0) * (coalesce(n, 0) - 1) / 2 <= coalesce(taken, 0)")
+    if not full.isEmpty():
+        raise ValueError("a snapshot has no pair of known nodes that isn't its edge")
+    hit = times.select("t", F.col("u").alias("p"), F.col("v").alias("q"))
+    left, out = kept(times.join(count, "t").select("t", "n", F.concat_ws(":", "t", "u", "v").alias("key"))), None
     for r in range(rounds):
-        draw = [F.floor(unit(F.lit(f"{seed}:{r}:{side}"), "key") * F.col("n")).cast("int") for side in "ab"]
-        drawn = left.withColumn("ia", draw[0]).withColumn("ib", draw[1])
+        draw = (F.floor(unit(F.lit(f"{seed}:{r}:{side}"), "key") * F.col("n")).cast("long").alias(f"i{side}") for side in "ab")
+        drawn = left.select("t", "n", "key", *draw)
         for x, i in (("x", "ia"), ("y", "ib")):
-            drawn = drawn.join(known.select("t", F.col("i").alias(i), F.col("node").alias(x)), ["t", i])
-        drawn = drawn.withColumn("p", F.least("x", "y")).withColumn("q", F.greatest("x", "y"))
-        hit = times.select("t", F.col("u").alias("p"), F.col("v").alias("q"), F.lit(True).alias("hit"))
-        drawn = drawn.join(hit, ["t", "p", "q"], "left")
-        good = F.col("hit").isNull() & (F.col("p") != F.col("q"))
-        part = drawn.where(good).select("t", F.col("p").alias("u"), F.col("q").alias("v"), "key")
+            drawn = drawn.join(order.select(F.col("i").alias(i), F.col("node").alias(x)), i)
+        drawn = drawn.select("t", "n", "key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+        drawn = kept(drawn.join(hit.withColumn("hit", F.lit(True)), ["t", "p", "q"], "left").withColumn("good", F.col("hit").isNull() & (F.col("p") != F.col("q"))))
+        part = drawn.where("good").select("t", F.col("p").alias("u"), F.col("q").alias("v"))
         out = part if out is None else out.union(part)
-        left = left.join(drawn.where(good).select("key"), "key", "left_anti")
-    return out.select("t", "u", "v")
+        left = drawn.where("not good").select("t", "n", "key")
+        if left.isEmpty():
+            return out
+    raise ValueError("a snapshot is too dense for so many draws")
+
+
+def labelled_pairs(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(split, t, u, v, label): the edges of t + 1 between nodes seen up to t, and as many pairs that aren't, for a link scorer that knows snapshots up to t."""
+    a, b = split_bounds(n)
+    seen = first_seen(nodes)
+    rows = edges.select((F.col("t") - 1).alias("t"), "u", "v").where("t >= 0")
+    for side in "uv":
+        rows = rows.join(seen.select(F.col("node").alias(side), F.col("first_t").alias(f"f{side}")), side).where(F.col(f"f{side}") <= F.col("t"))
+    both = rows.select("t", "u", "v", F.lit(1).alias("label")).union(negative_edges(edges, nodes, seed).select("t", "u", "v", F.lit(0)))
+    return both.select(split_of(F.col("t"), a, b).alias("split"), "t", "u", "v", "label")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.edge_log import dense_ids
+
 STEP, WINDOW = 86_400, 172_800
 
 
@@ -37,9 +39,9 @@ def windows(edges: DataFrame, step: int = STEP, window: int = WINDOW) -> DataFra
     """(t, window_index, start_ts, end_ts, edge_count) of windows that hold an edge; t is their position."""
     s0, n, _, _ = window_plan(edges, step, window)
     counts = assign_windows(edges.select("ts"), s0, n, step, window).groupBy("window_index").agg(F.count(F.lit(1)).alias("edge_count"))
-    t = (F.dense_rank().over(Window.orderBy("window_index")) - 1).cast("int")  # one row for each window
+    counts = dense_ids(counts, "window_index", "place")  # steps of a second make many windows
     start = F.lit(s0) + F.col("window_index") * step
-    return counts.select(t.alias("t"), "window_index", start.alias("start_ts"), (start + window).alias("end_ts"), "edge_count")
+    return counts.select(F.col("place").cast("int").alias("t"), "window_index", start.alias("start_ts"), (start + window).alias("end_ts"), "edge_count")
 
 
 def window_hashes(edges: DataFrame, step: int = STEP, window: int = WINDOW) -> DataFrame:
@@ -62,7 +64,7 @@ def manifest(edges: DataFrame, dataset: str, step: int = STEP, window: int = WIN
 def members(edges: DataFrame, step: int = STEP, window: int = WINDOW) -> DataFrame:
     """(t, u, v): every edge of every window, loops and repeats included."""
     s0, n, _, _ = window_plan(edges, step, window)
-    at = F.broadcast(windows(edges, step, window).select("window_index", "t"))  # one row for each window
+    at = windows(edges, step, window).select("window_index", "t")
     return assign_windows(edges.select("u", "v", "ts"), s0, n, step, window).join(at, "window_index").select("t", "u", "v")
 
 
@@ -86,11 +88,12 @@ def first_seen(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.min("t").alias("first_t"))
 
 
-def cumulative_adjacency(edges: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
-    """(node, neighbours): every node seen up to t; a node without edges has an empty list."""
-    adj = adjacency(edges.where(F.col("t") <= t)).select("a", "b").distinct().groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("neighbours"))
-    seen = nodes.where(F.col("t") <= t).select("node").distinct()
-    return seen.join(adj, seen.node == adj.a, "left").select("node", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+def cumulative_adjacency(edges: DataFrame, nodes: DataFrame, last: int) -> DataFrame:
+    """(t, node, neighbours) for t up to `last`: every node seen up to t and its neighbours so far, sorted; a node without edges has an empty list."""
+    hist = edge_history(edges)
+    met = hist.select(F.col("u").alias("node"), F.col("v").alias("b"), F.col("first_t").alias("met")).union(hist.select("v", "u", "first_t"))
+    rows = first_seen(nodes).where(F.col("first_t") <= last).withColumn("t", F.explode(F.sequence("first_t", F.lit(last)))).join(met, "node", "left")
+    return rows.groupBy("t", "node").agg(F.sort_array(F.collect_list(F.when(F.col("met") <= F.col("t"), F.col("b")))).alias("neighbours"))
 
 
 def edge_history(edges: DataFrame) -> DataFrame:

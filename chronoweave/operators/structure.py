@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cores import h_index
+from .cores import h_indexes
 from .snapshots import adjacency
 
 BLOCKS = ("h1", "h2", "h3", "core")
@@ -18,7 +18,7 @@ def node_state(edges: DataFrame, cores: DataFrame) -> DataFrame:
     below = "degree"
     for level in BLOCKS[:3]:
         near = state.select("t", F.col("node").alias("b"), F.col(below).alias("x"))
-        new = adj.join(near, ["t", "b"]).groupBy("t", "a").agg(h_index(F.collect_list("x")).alias(level))
+        new = h_indexes(adj.join(near, ["t", "b"]), ["t", "a"], "x", level)
         state = state.join(new.withColumnRenamed("a", "node"), ["t", "node"])
         below = level
     out = cores.join(state, ["t", "node"], "left")

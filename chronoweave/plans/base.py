@@ -7,12 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import communities, cores, edge_generation, influence, samples, snapshots, structure
+from ..operators import communities, cores, edge_generation, features, influence, samples, snapshots, structure
 from ..sources import edge_log
-from .scratch import kept as _kept
-
-_KNOWN: dict[tuple[str, str], "Graph"] = {}
-
+from ..tables import kept as _kept
 
 class Graph:
     """The events table's edge log in windows of two days, one day apart."""
@@ -41,7 +38,7 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return _kept(snapshots.snapshot_edges(self.members))
+        return _kept(snapshots.snapshot_edges(self.members), by="t")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -97,30 +94,71 @@ class Graph:
         """Nodes that breadth-first search from the cohort looks at, coreness staying as it is."""
         return _kept(communities.threshold_bfs(self.cohort, self.edges, self.core.withColumnRenamed("core", "pred"))[0])
 
+    @cached_property
+    def all_answers(self) -> DataFrame:
+        """(t, src, node, time, score, weight): answers of every source after every snapshot, from one pass."""
+        return _kept(influence.answers_at(self.edges, None, list(range(self.n))), by="t")
+
     @cached_property
     def influences(self) -> tuple[DataFrame, DataFrame]:
         """State and norms after the last snapshot."""
         *_, last = influence.stream(self.edges, list(range(self.n)))
-        return _kept(last[1]), _kept(last[2])
+        return last[1], last[2]
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        """(t, src, node, score): answers with times summed, at every evaluation time and after the last snapshot."""
+        rows = self.all_answers.where(F.col("t") >= samples.evaluation_start(self.n))
+        return rows.groupBy("t", "src", "node").agg(F.sum("score").alias("score"))
 
     @cached_property
     def generated(self) -> DataFrame:
         """Edges of the cohort's communities at every query time, each from influences after the snapshots up to it."""
-        first, scores = samples.evaluation_start(self.n), None
-        for t, state, _norms in influence.stream(self.edges, list(range(self.n - 1))):
-            if t >= first:
-                of = influence.merged_scores(influence.top_answers(state)).withColumn("t", F.lit(t))
-                scores = of if scores is None else scores.union(of)
         members = self.searched.where("inside").select("query", "k", "t", "node", "pred")
-        return _kept(edge_generation.generate_edges(members, scores))
+        return _kept(edge_generation.generate_edges(members, self.merged))
 
     @cached_property
     def answers(self) -> DataFrame:
         return _kept(influence.top_answers(self.influences[0]))
 
+    @cached_property
+    def samples(self) -> DataFrame:
+        return _kept(samples.coreness_samples(self.core, self.n))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Samples with whole features."""
+        of = (self.core, self.state, self.kmax, self.all_answers, self.shares, self.hmax)
+        return _kept(features.feature_rows(self.samples, *of, width=features.feature_width(self.kmax, self.hmax)))
+
+    @cached_property
+    def predictor(self) -> features.Predictor:
+        return features.fit_predictor(self.features, self.kmax, hmax=self.hmax)
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        """(t, node, pred) of the trained predictor at every evaluation time."""
+        rows = self.predictor.predict(self.features.where(F.col("time") >= samples.evaluation_start(self.n)))
+        return _kept(rows.select(F.col("time").alias("t"), "node", "pred"))
+
+    @cached_property
+    def searched_by_model(self) -> DataFrame:
+        """Nodes that breadth-first search from the cohort looks at under the trained predictor."""
+        return _kept(communities.threshold_bfs(self.cohort, self.edges, self.predicted)[0])
+
+
+_KNOWN: dict[tuple, Graph] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the input's files are: another input under the same path is another graph."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir))
     if key not in _KNOWN:
         _KNOWN[key] = Graph(spark, sf_dir)
     return _KNOWN[key]

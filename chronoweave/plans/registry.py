@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import ordinal, ranking, sets
 from ..operators import communities, cores, edge_generation, features, history, influence, samples, snapshots, structure
 from ..sources import edge_log
+from ..tables import kept
 from .base import Graph, graph
-from .sql import influence_parts, sql
+from .sql import MD5_UNIT, influence_parts, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,15 +183,15 @@ def _(g):
     return g.nodes.agg(F.countDistinct("node").alias("total_nodes"))
 
 
-@query("snapshot_adjacency", "SELECT a AS node, CAST(array_to_string(list(b ORDER BY b), ',') AS VARCHAR) AS neighbours FROM adj WHERE t = 7 GROUP BY 1", "adj")
+@query("snapshot_adjacency", "SELECT t, a AS node, CAST(array_to_string(list(b ORDER BY b), ',') AS VARCHAR) AS neighbours FROM adj GROUP BY 1, 2", "adj")
 def _(g):
-    return communities.neighbours_now(g.edges, 7).select(F.col("a").alias("node"), F.concat_ws(",", F.col("neighbours").cast("array<string>")).alias("neighbours"))
+    return communities.neighbours(g.edges).select("t", F.col("a").alias("node"), F.concat_ws(",", F.col("neighbours").cast("array<string>")).alias("neighbours"))
 
 
-@query("cumulative_adjacency", "SELECT x.node, count(DISTINCT b) AS neighbours, CAST(coalesce(sum(DISTINCT b), 0) AS BIGINT) AS id_sum FROM (SELECT DISTINCT node FROM nd WHERE t <= 10) x LEFT JOIN (SELECT a, b FROM adj WHERE t <= 10) y ON x.node = a GROUP BY 1", "nd adj")
+@query("cumulative_adjacency", "SELECT x.t, x.node, count(b) AS neighbours, CAST(coalesce(sum(b), 0) AS BIGINT) AS id_sum FROM (SELECT node, CAST(unnest(range(first_t, n)) AS INTEGER) AS t FROM fs, nt) x LEFT JOIN (SELECT u AS a, v AS b, first_t FROM hist UNION ALL SELECT v, u, first_t FROM hist) y ON x.node = a AND first_t <= x.t GROUP BY 1, 2", "fs nt hist")
 def _(g):
-    rows = snapshots.cumulative_adjacency(g.edges, g.nodes, 10)
-    return rows.select("node", F.size("neighbours").cast("long").alias("neighbours"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    rows = snapshots.cumulative_adjacency(g.edges, g.nodes, g.n - 1)
+    return rows.select("t", "node", F.size("neighbours").cast("long").alias("neighbours"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
 @query("edge_history", "SELECT u, v, first_t FROM hist", "hist")
@@ -221,7 +222,7 @@ def _(g):
     return g.core
 
 
-@query("coreness_by_joins", "SELECT t, node, x::INTEGER AS core FROM rec WHERE it = 80 AND t % 10 = 9", "rec")
+@query("coreness_by_joins", "SELECT t, node, x::INTEGER AS core FROM rec WHERE it = 80", "rec")
 def _(g):
     return cores.coreness_by_joins(g.edges)
 
@@ -262,11 +263,11 @@ def _(g):
     return v.select("t", "node", r6(F.aggregate("dist", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("dist").alias("places"))
 
 
-@query("induced_edges", "SELECT s.t, s.u, s.v FROM s JOIN kc a ON a.t = s.t AND a.k = 5 AND a.node = s.u JOIN kc b ON b.t = s.t AND b.k = 5 AND b.node = s.v", "s kc")
+@query("induced_edges", "SELECT a.k, s.t, s.u, s.v FROM s JOIN kc a ON a.t = s.t AND a.node = s.u JOIN kc b ON b.t = s.t AND b.k = a.k AND b.node = s.v", "s kc")
 def _(g):
-    inside = g.kcore.where("k = 5")
-    one = g.edges.join(inside.select("t", F.col("node").alias("u")), ["t", "u"], "left_semi")
-    return one.join(inside.select("t", F.col("node").alias("v")), ["t", "v"], "left_semi").select("t", "u", "v")
+    inside = g.kcore.select("t", "k", "node")
+    one = g.edges.join(inside.withColumnRenamed("node", "u"), ["t", "u"])
+    return one.join(inside.withColumnRenamed("node", "v"), ["t", "k", "v"], "left_semi").select("k", "t", "u", "v")
 
 
 # ---- temporal state -------------------------------------------------------------------------------
@@ -277,14 +278,13 @@ def _(g):
     return history.signatures(g.core, g.n - 1, g.kmax).withColumn("value", r6("value"))
 
 
-@query("core_signatures_incremental", "SELECT node, k, round(sum(pow(0.7, 11 - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END) / ((1 - pow(0.7, 12)) / (1 - 0.7)), 6) AS value FROM core, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) WHERE t <= 11 GROUP BY 1, 2", "core mx")
+@query("core_signatures_incremental", "SELECT node, k, round(sum(pow(0.7, 29 - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END) / ((1 - pow(0.7, 30)) / (1 - 0.7)), 6) AS value FROM core, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) GROUP BY 1, 2", "core mx")
 def _(g):
     state = g.spark.createDataFrame([], "node long, last_t int, sums array<double>")
     for t in range(g.n):
         state = history.advance(state, g.core.where(F.col("t") == t), t, g.kmax)
         if t % 4 == 3:
-            cores._own_checkpoint_dir(g.spark) if not g.spark.sparkContext.getCheckpointDir() else None
-            state = state.checkpoint()
+            state = kept(state)
     return history.read_state(state, g.n - 1).select("node", F.posexplode("vec").alias("p", "x")).select("node", (F.col("p") + 1).alias("k"), r6("x").alias("value"))
 
 
@@ -396,11 +396,30 @@ def _(g):
     return samples.stratified_downsample(_cohort(g), 1 / 3)
 
 
-@query("negative_edges")
+# a draw's place among the nodes known at its time, in each of forty rounds; the first round whose pair is none of the snapshot's edges counts
+DRAWS = """(SELECT t, u0, v0, p, q FROM (SELECT d.*, row_number() OVER (PARTITION BY d.t, u0, v0 ORDER BY round) AS first FROM
+(SELECT e.t, u0, v0, round, least(a.node, b.node) AS p, greatest(a.node, b.node) AS q FROM (SELECT s.t - 1 AS t, s.u AS u0, s.v AS v0, round, CAST(floor({a} * known) AS BIGINT) AS ia, CAST(floor({b} * known) AS BIGINT) AS ib
+FROM s JOIN (SELECT s.t - 1 AS t, count(DISTINCT fs.node) AS known FROM (SELECT DISTINCT t FROM s) s JOIN fs ON first_t <= s.t - 1 GROUP BY 1) c ON c.t = s.t - 1, range(40) AS x(round)) e
+JOIN (SELECT node, row_number() OVER (ORDER BY first_t, node) - 1 AS i FROM fs) a ON a.i = ia JOIN (SELECT node, row_number() OVER (ORDER BY first_t, node) - 1 AS i FROM fs) b ON b.i = ib) d
+LEFT JOIN s ON s.t = d.t + 1 AND s.u = p AND s.v = q WHERE s.u IS NULL AND p <> q) WHERE first = 1)""".format(
+    **{side: MD5_UNIT.format(key=f"concat('42:', round, ':{side}'), concat_ws(':', s.t - 1, s.u, s.v)") for side in "ab"}
+)
+
+
+@query("negative_edges", f"SELECT CAST(t AS INTEGER) AS t, p AS u, q AS v FROM {DRAWS}", "s fs")
 def _(g):
     return samples.negative_edges(g.edges, g.nodes)
 
 
+@query(
+    "labelled_pairs",
+    f"SELECT CASE WHEN t < a THEN 'train' WHEN t < b THEN 'val' ELSE 'test' END AS split, CAST(t AS INTEGER) AS t, u, v, label FROM (SELECT s.t - 1 AS t, s.u, s.v, 1 AS label FROM s JOIN fs x ON x.node = s.u AND x.first_t < s.t JOIN fs y ON y.node = s.v AND y.first_t < s.t UNION ALL SELECT t, p, q, 0 FROM {DRAWS}), bounds",
+    "s fs bounds",
+)
+def _(g):
+    return samples.labelled_pairs(g.edges, g.nodes, g.n)
+
+
 @query("feature_table", "SELECT s.split, s.node, s.time, s.label, coalesce(c.core, 0) AS core_now, coalesce(h.h1, 0) AS h1_now FROM smp s LEFT JOIN core c ON c.node = s.node AND c.t = s.time LEFT JOIN ns h ON h.node = s.node AND h.t = s.time", "smp core ns")
 def _(g):
     now = g.state.select("node", F.col("t").alias("time"), F.col("core").alias("core_now"), F.col("h1").alias("h1_now"))
@@ -479,7 +498,24 @@ def _(g):
 @query("execution_order", "SELECT query, k, t, n, row_number() OVER (ORDER BY k DESC, n, t, query) AS place FROM (SELECT query, k, t, count(*) AS n FROM cand GROUP BY 1, 2, 3)", "cand")
 def _(g):
     n = g.candidates.groupBy("query", "k", "t").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("k").desc(), "n", "t", "query")).cast("long"))
+    n = edge_log.dense_ids(n.withColumn("at", F.struct(-F.col("k"), "n", "t", "query")), "at", "place")
+    return n.select("query", "k", "t", "n", (F.col("place") + 1).alias("place"))
+
+
+@query("candidate_index", "SELECT DISTINCT co.query, co.k, y.node FROM co JOIN kc x ON x.k = co.k AND x.node = co.query JOIN kc y ON y.k = x.k AND y.t = x.t AND y.component_id = x.component_id", "co kc")
+def _(g):
+    index = g.spark.createDataFrame([], "query long, k int, node long")
+    queries = kept(g.cohort.select("query", "k").distinct())
+    for t in range(g.n):
+        index = communities.extend_index(index, queries, g.kcore, t)
+        if t % 4 == 3:
+            index = kept(index)
+    return index
+
+
+@query("recovered_components", "SELECT query, k, t, node FROM prc", "prc")
+def _(g):
+    return communities.recover_components(g.cohort, g.candidates, g.scored, 0.5)
 
 
 @query("candidate_edges", "SELECT query, k, t, u, v, first_t FROM ce", "ce")
@@ -513,20 +549,19 @@ def _(g):
 
 def _evaluated(g: Graph, members: DataFrame) -> DataFrame:
     """Metrics of each query's members (query, k, t, node) against its truth, queries of empty truth left out."""
-    cohort = samples.truths(_cohort(g), g.kcore).where(F.size("community") > 0)
-    sets_ = members.groupBy("query", "k", "t").agg(F.collect_set("node").alias("found"))
-    rows = cohort.join(sets_, ["query", "k", "t"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
-    m = sets.set_metrics(F.col("found"), F.col("community"))
-    return rows.select("query", "k", "t", *(c.alias(n) for n, c in m.items()), (F.size("found") / F.size("community")).alias("size_ratio"))
+    total = g.nodes.select("node").distinct().count()
+    rows = sets.counted(g.cohort.select("query", "k", "t"), members, samples.truth_members(g.cohort, g.kcore), ["query", "k", "t"], ["node"]).where(F.col("true") > 0)
+    m = sets.count_metrics(F.col("hit"), F.col("found"), F.col("true"))
+    return rows.select("query", "k", "t", *(c.alias(n) for n, c in m.items()), (F.col("found") / F.col("true")).alias("size_ratio"), (F.col("found") / F.lit(total) * 100).alias("pred_ratio"))
 
 
 def _metrics_sql(members: str) -> str:
     return f"""(SELECT query, k, t, CASE WHEN f = 0 THEN 0 ELSE hit / f END AS precision, CASE WHEN f = 0 THEN 0 ELSE hit / n END AS recall, CASE WHEN f = 0 THEN 0 ELSE 2.0::DOUBLE * hit / (f + n) END AS f1,
-CASE WHEN f = 0 THEN 0 ELSE hit / (f + n - hit) END AS jaccard, f / n AS size_ratio FROM (SELECT a.query, a.k, a.t, a.n, coalesce(b.f, 0) AS f, coalesce(c.hit, 0) AS hit FROM (SELECT query, k, t, count(*) AS n FROM tr GROUP BY 1, 2, 3) a
+CASE WHEN f = 0 THEN 0 ELSE hit / (f + n - hit) END AS jaccard, f / n AS size_ratio, f / (SELECT count(DISTINCT node) FROM nd) * 100 AS pred_ratio FROM (SELECT a.query, a.k, a.t, a.n, coalesce(b.f, 0) AS f, coalesce(c.hit, 0) AS hit FROM (SELECT query, k, t, count(*) AS n FROM tr GROUP BY 1, 2, 3) a
 LEFT JOIN (SELECT query, k, t, count(*) AS f FROM {members} GROUP BY 1, 2, 3) b USING (query, k, t) LEFT JOIN (SELECT query, k, t, count(*) AS hit FROM {members} JOIN tr USING (query, k, t, node) GROUP BY 1, 2, 3) c USING (query, k, t)))"""
 
 
-METRICS = ("precision", "recall", "f1", "jaccard", "size_ratio")
+METRICS = ("precision", "recall", "f1", "jaccard", "size_ratio", "pred_ratio")
 ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
 MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
 BFS = "(SELECT query, k, t, node FROM bn WHERE pred >= k)"
@@ -536,28 +571,35 @@ def _bfs_members(g: Graph) -> DataFrame:
     return g.searched.where("inside").select("query", "k", "t", "node")
 
 
-@query("hybrid_metrics", f"SELECT query, k, t, {ROUNDED} FROM {_metrics_sql(BFS)}", "bn tr")
+@query("hybrid_metrics", f"SELECT query, k, t, {ROUNDED} FROM {_metrics_sql(BFS)}", "bn tr nd")
 def _(g):
     rows = _evaluated(g, _bfs_members(g))
     return rows.select("query", "k", "t", *(r6(m).alias(m) for m in METRICS))
 
 
-@query("hybrid_per_k", f"SELECT k, count(*) AS samples, {MEANS} FROM {_metrics_sql(BFS)} GROUP BY 1", "bn tr")
+@query("hybrid_per_k", f"SELECT k, count(*) AS samples, {MEANS} FROM {_metrics_sql(BFS)} GROUP BY 1", "bn tr nd")
 def _(g):
     return _evaluated(g, _bfs_members(g)).groupBy("k").agg(F.count(F.lit(1)).alias("samples"), *(r6(F.avg(m)).alias(m) for m in METRICS))
 
 
-@query("hybrid_macro", f"SELECT {MEANS} FROM (SELECT k, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM {_metrics_sql(BFS)} GROUP BY 1)", "bn tr")
+@query("hybrid_macro", f"SELECT {MEANS} FROM (SELECT k, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM {_metrics_sql(BFS)} GROUP BY 1)", "bn tr nd")
 def _(g):
     per_k = _evaluated(g, _bfs_members(g)).groupBy("k").agg(*(F.avg(m).alias(m) for m in METRICS))
     return per_k.agg(*(r6(F.avg(m)).alias(m) for m in METRICS))
 
 
-@query("link_per_k", f"SELECT k, count(*) AS samples, {MEANS} FROM {_metrics_sql('prc')} GROUP BY 1", "prc tr")
+@query("link_per_k", f"SELECT k, count(*) AS samples, {MEANS} FROM {_metrics_sql('prc')} GROUP BY 1", "prc tr nd")
 def _(g):
     return _evaluated(g, g.linked).groupBy("k").agg(F.count(F.lit(1)).alias("samples"), *(r6(F.avg(m)).alias(m) for m in METRICS))
 
 
+@query("hybrid_audit", "SELECT t, count(DISTINCT (query, k)) AS queries, count(*) AS examined, count(DISTINCT node) AS predictions, count(*) - count(DISTINCT node) AS repeated FROM bn GROUP BY 1", "bn")
+def _(g):
+    """Totals of an evaluation: nodes examined, and how many predictions they needed."""
+    n = g.searched.groupBy("t").agg(F.countDistinct("query", "k").alias("queries"), F.count(F.lit(1)).alias("examined"), F.countDistinct("node").alias("predictions"))
+    return n.withColumn("repeated", F.col("examined") - F.col("predictions"))
+
+
 # ---- edge generation ------------------------------------------------------------------------------
 
 
@@ -574,23 +616,23 @@ def _(g):
     return edge_generation.dependents(influence.merged_scores(g.answers))
 
 
-LAST = "(SELECT node, core AS pred FROM core, nt WHERE t = n - 1)"
-NEAR = f"(SELECT m.src, m.node, m.score, p.pred AS c FROM mg m JOIN {LAST} p ON p.node = m.node WHERE m.src <> m.node)"
-CAPACITY = f"(SELECT p.node, p.pred, coalesce(q.capacity, 0) AS capacity FROM {LAST} p LEFT JOIN (SELECT src, count(*) FILTER (c >= rn) AS capacity FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC) AS rn FROM {NEAR}) GROUP BY 1) q ON q.src = p.node)"
+NEAR = "(SELECT m.t, m.src, m.node, m.score, p.core AS c FROM mga m JOIN core p ON p.t = m.t AND p.node = m.node WHERE m.src <> m.node)"
+CAPACITY = f"(SELECT p.t, p.node, p.core AS pred, coalesce(q.capacity, 0) AS capacity FROM core p JOIN bounds ON p.t >= b LEFT JOIN (SELECT t, src, count(*) FILTER (c >= rn) AS capacity FROM (SELECT *, row_number() OVER (PARTITION BY t, src ORDER BY c DESC) AS rn FROM {NEAR}) GROUP BY 1, 2) q ON q.t = p.t AND q.src = p.node)"
 
 
-def _last(g: Graph) -> DataFrame:
-    return g.core.where(F.col("t") == g.n - 1).select("node", F.col("core").alias("pred"))
+def _pred(g: Graph) -> DataFrame:
+    """Today's coreness as the prediction, at every evaluation time and after the last snapshot."""
+    return g.core.where(F.col("t") >= samples.evaluation_start(g.n)).select("t", "node", F.col("core").alias("pred"))
 
 
-@query("choice_capacity", f"SELECT node, pred, CAST(capacity AS INTEGER) AS capacity FROM {CAPACITY}", "mg core nt")
+@query("choice_capacity", f"SELECT t, node, pred, CAST(capacity AS INTEGER) AS capacity FROM {CAPACITY}", "mga core bounds")
 def _(g):
-    return edge_generation.capacities(_last(g), influence.merged_scores(g.answers))
+    return edge_generation.capacities(_pred(g), g.merged)
 
 
-@query("first_choices", f'SELECT node, candidate, "case" FROM (SELECT p.node, m.node AS candidate, CASE WHEN capacity > pred THEN 2 ELSE 1 END AS "case", pred, row_number() OVER (PARTITION BY p.node ORDER BY round(score, 14) DESC, m.node) AS r FROM {CAPACITY} p JOIN {NEAR} m ON m.src = p.node AND c >= pred WHERE pred > 0 AND capacity >= pred) WHERE "case" = 1 OR r <= pred', "mg core nt")
+@query("first_choices", f'SELECT t, node, candidate, "case" FROM (SELECT p.t, p.node, m.node AS candidate, CASE WHEN capacity > pred THEN 2 ELSE 1 END AS "case", pred, row_number() OVER (PARTITION BY p.t, p.node ORDER BY round(score, 14) DESC, m.node) AS r FROM {CAPACITY} p JOIN {NEAR} m ON m.t = p.t AND m.src = p.node AND c >= pred WHERE pred > 0 AND capacity >= pred) WHERE "case" = 1 OR r <= pred', "mga core bounds")
 def _(g):
-    return edge_generation.first_choices(_last(g), influence.merged_scores(g.answers))
+    return edge_generation.first_choices(_pred(g), g.merged)
 
 
 @query("generated_edges")
@@ -603,15 +645,55 @@ def _(g):
     return edge_generation.case_metrics(g.generated)
 
 
+TRUE_EDGES = ["query", "k", "t"], ["u", "v"]
+
+
+def _true_edges(g: Graph) -> DataFrame:
+    """(query, k, t, u, v): edges of t + 1 inside each query's true community."""
+    truth = samples.truth_members(g.cohort, g.kcore)
+    after = g.edges.select((F.col("t") - 1).alias("t"), "u", "v").join(truth.withColumnRenamed("node", "u"), ["t", "u"])
+    return after.join(truth.withColumnRenamed("node", "v"), ["query", "k", "t", "v"], "left_semi").select("query", "k", "t", "u", "v")
+
+
+def _edge_metrics(g: Graph, found: DataFrame) -> DataFrame:
+    rows = sets.counted(g.cohort.where("not empty").select("query", "k", "t"), found, _true_edges(g), *TRUE_EDGES)
+    m = sets.count_metrics(F.col("hit"), F.col("found"), F.col("true"))
+    return rows.select("query", "k", "t", *(r6(c).alias(n) for n, c in m.items()))
+
+
+@query("generated_edge_metrics")
+def _(g):
+    """Generated edges against the edges of the next snapshot's true community."""
+    return _edge_metrics(g, g.generated.where("u is not null"))
+
+
 # ---- more evaluation and features -----------------------------------------------------------------
 
-EXACT = influence_parts(5, top=10**9, least=-1, x="x")
+EXACT = influence_parts(SNAPSHOTS, top=10**9, least=-1, x="x")
 
 
-@query("influence_exact", f"SELECT src, node, time, round(score, 12) AS score FROM {EXACT}", EXACT)
+@query("influence_exact", f"SELECT src, node, time, round(score, 9) AS score FROM {EXACT}", EXACT)
 def _(g):
-    """The exact walk as of the last snapshot, from every node; its SQL, the streaming recurrence without bounds, still stops at t = 4."""
-    return influence.exact(g.edges, g.nodes.select("node").distinct(), g.n - 1).withColumn("score", F.round("score", 12))
+    """The exact walk as of the last snapshot, from every node; its SQL is the streaming recurrence without bounds."""
+    return influence.exact(g.edges, g.nodes.select("node").distinct(), g.n - 1).withColumn("score", F.round("score", 9))
+
+
+@query("influence_exact_top", f"SELECT src, node, time, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 14) DESC, time DESC, node) AS r FROM {EXACT}) WHERE r <= 20", EXACT)
+def _(g):
+    return influence.exact(g.edges, g.nodes.select("node").distinct(), g.n - 1, top=20).withColumn("score", F.round("score", 9))
+
+
+@query("influence_at_times", "SELECT DISTINCT a.t, src, node, time, round(score, 6) AS score, round(weight, 6) AS weight FROM ansall a JOIN co ON co.query = a.src AND co.t = a.t", "ansall co")
+def _(g):
+    """The answers of every query of the cohort at its own time."""
+    queries = g.cohort.select(F.col("query").alias("src"), "t").distinct()
+    times = sorted(r.t for r in queries.select("t").distinct().collect())  # evaluation times
+    return influence.answers_at(g.edges, queries, times).withColumn("score", r6("score")).withColumn("weight", r6("weight"))
+
+
+@query("influence_ages", "SELECT t, src, node, time, round(ln(1 + t - time), 6) AS age FROM ansall", "ansall")
+def _(g):
+    return influence.log_ages(g.all_answers).select("t", "src", "node", "time", r6("age").alias("age"))
 
 
 @query("feature_signatures", "SELECT s.node, s.time, k, round(sum(pow(0.7, s.time - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END) / ((1 - pow(0.7, s.time + 1)) / (1 - 0.7)), 6) AS value FROM smp s JOIN core c ON c.node = s.node AND c.t <= s.time, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) GROUP BY 1, 2, 3", "smp core mx")
@@ -619,15 +701,78 @@ def _(g):
     return features.signatures_at(samples.coreness_samples(g.core, g.n), g.core, g.kmax).withColumn("value", r6("value"))
 
 
+@query("feature_rows", "SELECT split, node, time, label, CAST(place AS INTEGER) AS place, round(value, 6) AS value FROM smp JOIN fv USING (node, time)", "smp fv")
+def _(g):
+    """Every sample's whole features, a row for each that isn't 0."""
+    return g.features.select("split", "node", "time", "label", F.posexplode("features").alias("place", "value")).where("value <> 0").withColumn("value", r6("value"))
+
+
+@query("feature_inference", "SELECT node, time, CAST(place AS INTEGER) AS place, round(value, 6) AS value FROM fv, nt WHERE time = n - 2", "fv nt")
+def _(g):
+    """Features of all nodes known at one time, to predict what follows it."""
+    return features.feature_values(samples.inference_samples(g.core, g.n - 2), g.core, g.state, g.kmax, g.all_answers, g.shares, g.hmax).withColumn("value", r6("value"))
+
+
+@query("feature_on_demand", "SELECT DISTINCT node, time, CAST(place AS INTEGER) AS place, round(value, 6) AS value FROM fv JOIN co ON co.query = node AND co.t = time", "fv co")
+def _(g):
+    """Features of the cohort's queries only, at their own times."""
+    wanted = g.cohort.select(F.col("query").alias("node"), F.col("t").alias("time")).distinct()
+    return features.feature_values(wanted, g.core, g.state, g.kmax, g.all_answers, g.shares, g.hmax).withColumn("value", r6("value"))
+
+
+@query("structure_table", "SELECT t, node, block, bucket, round(share, 6) AS share FROM sh SEMI JOIN (SELECT time AS t, node FROM ansall) USING (t, node)", "sh ansall")
+def _(g):
+    return features.structure_table(g.all_answers, g.shares).withColumn("share", r6("share"))
+
+
+WEIGHT = "((k * 7 + place * 3) % 5 - 2) * 0.01"
+
+
+def _fixed_model(g: Graph) -> features.Predictor:
+    """Weights that are given and not learnt: the forward pass alone."""
+    m = features.Predictor.untrained(g.kmax, features.feature_width(g.kmax, g.hmax))
+    m.weights = [[((k * 7 + i * 3) % 5 - 2) * 0.01 for i in range(len(m.mean))] for k in range(1, g.kmax + 1)]
+    m.bias = [0.1 * (k % 3 - 1) for k in range(1, g.kmax + 1)]
+    return m
+
+
+@query(
+    "model_predictions",
+    f"""SELECT s.node, s.time, s.label, CAST(count(*) FILTER (round(prior + coalesce(x, 0) + 0.1 * (z.k % 3 - 1), 9) > 0) AS INTEGER) AS pred FROM
+(SELECT node, time, label, CAST(k AS INTEGER) AS k, ln(sum(exp(-2.0 * abs(j - pred))) FILTER (j >= k)) - ln(sum(exp(-2.0 * abs(j - pred))) FILTER (j < k)) AS prior FROM {PRED}, (SELECT unnest(range(1, kmax + 1)) AS k FROM mx), (SELECT unnest(range(kmax + 1)) AS j FROM mx) GROUP BY 1, 2, 3, 4) s
+JOIN (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) z ON z.k = s.k LEFT JOIN (SELECT node, time, k, sum(value * {WEIGHT}) AS x FROM fv, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx) GROUP BY 1, 2, 3) f ON f.node = s.node AND f.time = s.time AND f.k = s.k GROUP BY 1, 2, 3""",
+    "smp core mx fv",
+)
+def _(g):
+    return _fixed_model(g).predict(g.features).select("node", "time", "label", "pred")
+
+
 @query("trained_predictions")
 def _(g):
-    rows = features.feature_rows(samples.coreness_samples(g.core, g.n), g.core, g.state, g.kmax)
-    return features.predict(features.fit_predictor(rows), rows.where("split = 'test'")).select("node", "time", "label", "pred")
+    return g.predictor.predict(g.features.where("split = 'test'")).select("node", "time", "label", "pred")
 
 
-@query("threshold_components", "SELECT node, min(other) AS component_id FROM r GROUP BY 1", "r")
+@query("trained_communities")
 def _(g):
-    return communities.cumulative_components(_predicted(g), g.edges, 6, g.n - 1)
+    """Breadth-first communities under the trained predictor."""
+    return g.searched_by_model.select("query", "k", "t", "node", "pred")
+
+
+@query("trained_metrics")
+def _(g):
+    rows = _evaluated(g, g.searched_by_model.where("inside").select("query", "k", "t", "node"))
+    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("samples"), *(r6(F.avg(m)).alias(m) for m in METRICS))
+
+
+@query("trained_edges")
+def _(g):
+    """Nodes and edges at every query time: the trained predictor's communities and the edges generated inside them."""
+    return edge_generation.generate_edges(g.searched_by_model.where("inside").select("query", "k", "t", "node", "pred"), g.merged)
+
+
+@query("threshold_components", "SELECT t, k, node, l AS component_id FROM okl WHERE it = 12", "okl")
+def _(g):
+    return communities.cumulative_components(_predicted(g), g.edges, samples.KS)
 
 
 @query(
@@ -639,19 +784,10 @@ def _(g):
 )
 def _(g):
     key = ["query", "k", "t"]
-    cohort = _cohort(g)
-    pairs = communities.candidate_edges(communities.candidates(cohort, g.kcore), g.edges)
-    kept = communities.recency_score(pairs, g.edges).where(communities.over(F.col("score"), 0.5, False)).persist()
-    found = communities.peel_queries(cohort, kept)
+    found = g.scored.where(communities.over(F.col("score"), 0.5, False)).select(*key, "u", "v")
     for side in "uv":
-        kept = kept.join(found.select(*key, F.col("node").alias(side)), [*key, side], "left_semi")
-    truth = samples.truths(cohort.where("not empty"), g.kcore).select(*key, F.explode("community").alias("u"))
-    true = g.edges.select((F.col("t") - 1).alias("t"), "u", "v").join(truth, ["t", "u"]).join(truth.withColumnRenamed("u", "v"), [*key, "v"], "left_semi")
-    edge_sets = [x.groupBy(*key).agg(F.collect_set(F.struct("u", "v")).alias(n)) for x, n in ((kept, "p"), (true, "n"))]
-    rows = cohort.where("not empty").join(edge_sets[0], key, "left").join(edge_sets[1], key, "left")
-    none = F.array().cast("array<struct<u:bigint,v:bigint>>")
-    m = sets.set_metrics(F.coalesce("p", none), F.coalesce("n", none))
-    return rows.select(*key, r6(m["precision"]).alias("precision"), r6(m["recall"]).alias("recall"))
+        found = found.join(g.linked.select(*key, F.col("node").alias(side)), [*key, side], "left_semi")
+    return _edge_metrics(g, found).select(*key, "precision", "recall")
 
 
 LINKED = "(SELECT sc.query, sc.k, sc.t, sc.u, sc.v, round(score, 9) AS score, s.u IS NOT NULL AS linked FROM sc LEFT JOIN s ON s.t = sc.t + 1 AND s.u = sc.u AND s.v = sc.v)"
@@ -673,15 +809,22 @@ def _(g):
     return ranking.average_precision(_linked(g), "score", "linked").select(r6("ap").alias("ap"))
 
 
-@query("pair_scores", "SELECT a.node AS u, b.node AS v, round(1 / (1 + exp(-(0.2 * greatest(0.1 * a.degree - 0.3 * b.core + 0.05, 0) - 0.15 * greatest(0.25 * a.h1 + 0.2 * b.h1 - 1, 0)))), 6) AS score FROM s JOIN ns a ON a.t = s.t AND a.node = s.u JOIN ns b ON b.t = s.t AND b.node = s.v, nt WHERE s.t = n - 1", "s ns nt")
+@query("pair_scores", "SELECT s.t, a.node AS u, b.node AS v, round(1 / (1 + exp(-(0.2 * greatest(0.1 * a.degree - 0.3 * b.core + 0.05, 0) - 0.15 * greatest(0.25 * a.h1 + 0.2 * b.h1 - 1, 0)))), 6) AS score FROM s JOIN ns a ON a.t = s.t AND a.node = s.u JOIN ns b ON b.t = s.t AND b.node = s.v", "s ns")
 def _(g):
-    last = g.n - 1
-    nodes = g.state.where(F.col("t") == last).select("node", F.array(*(F.col(c).cast("double") for c in ("degree", "h1", "core"))).alias("vector"))
-    pairs = g.edges.where(F.col("t") == last).select("u", "v")
-    out = ranking.pair_decoder(pairs, nodes, [[0.1, 0.0, 0.0], [0.0, 0.25, 0.0]], [[0.0, 0.0, -0.3], [0.0, 0.2, 0.0]], [0.05, -1.0], [0.2, -0.15])
+    nodes = g.state.select("t", "node", F.array(*(F.col(c).cast("double") for c in ("degree", "h1", "core"))).alias("vector"))
+    out = ranking.pair_decoder(g.edges, nodes, [[0.1, 0.0, 0.0], [0.0, 0.25, 0.0]], [[0.0, 0.0, -0.3], [0.0, 0.2, 0.0]], [0.05, -1.0], [0.2, -0.15], ("t",))
     return out.withColumn("score", r6("score"))
 
 
+@query("symmetric_scores", "SELECT s.t, s.u, s.v, round((1 / (1 + exp(-(0.1 * a.degree - 0.2 * b.core))) + 1 / (1 + exp(-(0.1 * b.degree - 0.2 * a.core)))) / 2, 6) AS score FROM s JOIN ns a ON a.t = s.t AND a.node = s.u JOIN ns b ON b.t = s.t AND b.node = s.v", "s ns")
+def _(g):
+    """A directed score made undirected."""
+    a, b = (g.state.select("t", F.col("node").alias(x), F.col("degree").alias(f"d{x}"), F.col("core").alias(f"c{x}")) for x in "uv")
+    rows = g.edges.join(a, ["t", "u"]).join(b, ["t", "v"])
+    uv, vu = (ordinal.sigmoid(0.1 * F.col(f"d{x}") - 0.2 * F.col(f"c{y}")) for x, y in ("uv", "vu"))
+    return rows.select("t", "u", "v", r6(ranking.both_ways(uv, vu)).alias("score"))
+
+
 @query("capped_edges", "SELECT t, u, v FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY md5(concat_ws(':', 42, t, u, v))[1:13], u, v) AS r FROM s) WHERE r <= 50", "s")
 def _(g):
     order = Window.partitionBy("t").orderBy(samples.unit(F.lit(42), "t", "u", "v"), "u", "v")

@@ -75,8 +75,9 @@ part("tr", "co kc", "SELECT co.query, co.k, co.t, y.node FROM co JOIN kc x ON x.
 part("bf", "co core hist", "SELECT query, k, t, query, 1, coalesce((SELECT core FROM core c WHERE c.t = co.t AND c.node = co.query), 0) FROM co UNION SELECT f.query, f.k, f.t, x.b, 0, coalesce(c.core, 0) FROM bf f JOIN (SELECT u AS a, v AS b, first_t FROM hist UNION ALL SELECT v, u, first_t FROM hist) x ON x.a = f.node AND x.first_t <= f.t LEFT JOIN core c ON c.t = f.t AND c.node = x.b WHERE f.pred >= f.k", "(query, k, t, node, is_query, pred)")
 part("bn", "bf", "SELECT DISTINCT query, k, t, node, pred FROM bf")
 
-part("ok6", "core nt", "SELECT node FROM core, nt WHERE t = n - 1 AND core >= 6")
-part("r", "ok6 hist", "SELECT node, node FROM ok6 UNION SELECT r.node, x.b FROM r JOIN (SELECT u AS a, v AS b FROM hist UNION ALL SELECT v, u FROM hist) x ON x.a = r.other JOIN ok6 o ON o.node = x.b", "(node, other)")
+part("okk", "core", "SELECT t, CAST(k AS INTEGER) AS k, node FROM core, (VALUES (3), (4), (5), (6), (7)) AS x(k) WHERE core >= k")
+part("oka", "okk hist", "SELECT a.t, a.k, a.node AS a, b.node AS b FROM hist JOIN okk a ON a.node IN (u, v) AND first_t <= a.t JOIN okk b ON b.t = a.t AND b.k = a.k AND b.node IN (u, v)")
+part("okl", "okk oka", "SELECT 0 AS it, t, k, node, node AS l FROM okk UNION ALL SELECT it + 1, oka.t, oka.k, oka.a, min(l.l) FROM oka JOIN okl l ON l.t = oka.t AND l.k = oka.k AND l.node = oka.b WHERE it < 12 GROUP BY 1, 2, 3, 4", "(it, t, k, node, l)")
 part("fe", "pe prc", "SELECT pe.* FROM pe JOIN prc a ON a.query = pe.query AND a.k = pe.k AND a.t = pe.t AND a.node = pe.u JOIN prc b ON b.query = pe.query AND b.k = pe.k AND b.t = pe.t AND b.node = pe.v")
 part("te", "tr s", "SELECT a.query, a.k, a.t, s.u, s.v FROM s JOIN tr a ON a.t + 1 = s.t AND a.node = s.u JOIN tr b ON b.query = a.query AND b.k = a.k AND b.t = a.t AND b.node = s.v")
 
@@ -101,4 +102,20 @@ def influence_parts(n: int, alpha: float = 0.3, beta: float = 0.5, top: int = 20
         return state
     part("ans", state, f"SELECT src, node, time, score, score / sum(score) OVER (PARTITION BY src) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 14) DESC, time DESC, node) AS r FROM {state}) WHERE r <= 20")
     part("mg", "ans", "SELECT src, node, sum(score) AS score FROM ans GROUP BY 1, 2")
+    # the same after every snapshot
+    each = (f"SELECT {t} AS t, src, node, time, score, score / sum(score) OVER (PARTITION BY src) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 14) DESC, time DESC, node) AS r FROM st{t}) WHERE r <= 20" for t in range(n))
+    part("ansall", " ".join(f"st{t}" for t in range(n)), " UNION ALL ".join(each))
+    part("mga", "ansall bounds", "SELECT t, src, node, sum(score) AS score FROM ansall, bounds WHERE t >= b GROUP BY 1, 2, 3")
     return state
+
+
+WIDTH = "(5 + kmax + 4)"
+part(
+    "fv", "smp core mx ns ansall sh",
+    f"""SELECT node, time, place, sum(value) AS value FROM (
+SELECT s.node, s.time, CAST(l AS INTEGER) AS place, CAST(c.core AS DOUBLE) AS value FROM smp s CROSS JOIN range(5) AS x(l) JOIN core c ON c.node = s.node AND c.t = s.time - l
+UNION ALL SELECT s.node, s.time, k + 4, pow(0.7, s.time - t) * CASE WHEN core <= k THEN core / k ELSE 2 - k / core END / ((1 - pow(0.7, s.time + 1)) / (1 - 0.7)) FROM smp s JOIN core c ON c.node = s.node AND c.t <= s.time, (SELECT CAST(unnest(range(1, kmax + 1)) AS INTEGER) AS k FROM mx)
+UNION ALL SELECT s.node, s.time, kmax + 5 + i, CAST(v AS DOUBLE) FROM smp s JOIN (SELECT t, node, unnest([0, 1, 2, 3]) AS i, unnest([degree, h1, h2, h3]) AS v FROM ns) n ON n.node = s.node AND n.t = s.time, mx
+UNION ALL SELECT s.node, s.time, {WIDTH} + (list_position(['h1', 'h2', 'h3', 'core'], block) - 1) * (hmax + 1) + bucket, weight * share FROM smp s JOIN ansall a ON a.src = s.node AND a.t = s.time JOIN sh ON sh.t = a.time AND sh.node = a.node, mx
+UNION ALL SELECT s.node, s.time, {WIDTH} + 4 * (hmax + 1), weight * ln(1 + a.t - a.time) FROM smp s JOIN ansall a ON a.src = s.node AND a.t = s.time, mx) GROUP BY 1, 2, 3 HAVING sum(value) <> 0""",
+)

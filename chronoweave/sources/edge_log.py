@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import kept
+
 EDGE_SCHEMA = T.StructType([T.StructField(c, T.LongType(), False) for c in ("u", "v", "ts")])
 MANIFEST_KEYS = ("dataset", "step_seconds", "window_seconds", "first_timestamp", "last_timestamp", "observation_end", "window_alignment", "planned_slice_count", "slice_count", "slices")
 
@@ -68,7 +70,7 @@ def coin_edges(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
     """`df` with numbers 0, 1, ... in `order`."""
     part = df.repartitionByRange(order).sortWithinPartitions(order)
-    part = part.withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()).persist()
+    part = kept(part.withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()))
     sizes = part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))  # one row for each partition
     row = F.col("__mono") - F.shiftleft(F.col("__part").cast("long"), 33)
@@ -133,10 +135,15 @@ def require_sorted(edges: DataFrame, order: str = "ord") -> DataFrame:
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, v, ts, ord) of the events table: each day, one actor to the next."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return e.select(F.col("user_id").alias("u"), F.lead("user_id").over(day).alias("v"), seconds.alias("ts"), F.col("event_id").alias("ord")).where("v is not null")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").alias("hour"))
+    # within each hour side by side; the last of an hour is followed by the first of the day's next hour with events
+    order = ["ts", "event_id"]
+    e = e.withColumn("next", F.lead("user_id").over(Window.partitionBy("day", "hour").orderBy(*order)))
+    first = e.groupBy("day", "hour").agg(F.min_by("user_id", F.struct(*order)).alias("actor"))
+    after = first.select("day", "hour", F.lead("actor").over(Window.partitionBy("day").orderBy("hour")).alias("after"))  # 24 rows of a day
+    v = F.coalesce("next", "after")
+    rows = e.join(after, ["day", "hour"]).select(F.col("user_id").alias("u"), v.alias("v"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("ord"))
+    return rows.where("v is not null")
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,28 +163,95 @@ def export_events(snapshot_edges: DataFrame) -> DataFrame:
     return snapshot_edges.select("u", "v", (F.col("t") + 1).cast("long").alias("ts")).distinct()
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write a generation of tables beside the others and point `current` at it last; readers never see half of one."""
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, text: str, path: str, replace: bool = True) -> None:
+    """A small text as one file, written beside its place and renamed to it: readers see the old one or the new one."""
+    at, fs = _fs(spark, path)
+    beside, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if replace and fs.exists(at):
+        options = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+        rename = spark.sparkContext._gateway.new_array(options, 1)
+        rename[0] = options.OVERWRITE
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, at, rename)
+    elif not fs.rename(beside, at):
+        fs.delete(beside, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
+def generations(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, name) of the published generations, the newest last."""
+    at, fs = _fs(spark, f"{root}/published")
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted((int(n), read_text(spark, f"{root}/published/{n}").strip()) for n in names if n.isdigit())
+
+
+def publish(tables: dict[str, DataFrame], root: str, keep: int | None = None) -> str:
+    """Writes a generation of tables beside the others, reads it back, and only then names it the newest.
+
+    A generation is named by a file of its own with the next number, which appears by renaming: a reader, or a crash,
+    finds the one before or the new one. If a table's rows don't come back as written, or another writer took the
+    number, the generation is deleted and nothing changes. keep: only so many newest generations stay.
+    """
     spark = next(iter(tables.values())).sparkSession
-    generation = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/generations/{generation}/{name}")
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    generation, before = uuid.uuid4().hex, generations(spark, root)
+    path = f"{root}/generations/{generation}"
+    try:
+        for name, df in tables.items():
+            counter = Observation()
+            df.observe(counter, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{name}")
+            if (back := spark.read.parquet(f"{path}/{name}")).count() != counter.get["rows"] or back.columns != df.columns:
+                raise OSError(f"{name} isn't as it was written")
+        write_text(spark, generation, f"{root}/published/{before[-1][0] + 1 if before else 0:010d}", replace=False)
+    except BaseException:
+        at, fs = _fs(spark, path)
+        fs.delete(at, True)
+        raise
+    for number, old in before[: len(before) + 1 - keep] if keep else ():
+        for gone in (f"{root}/published/{number:010d}", f"{root}/generations/{old}"):
+            at, fs = _fs(spark, gone)
+            fs.delete(at, True)
     return generation
 
 
+def roll_back(spark: SparkSession, root: str) -> str:
+    """Takes the newest generation back; gives the one before, which is the newest again."""
+    found = generations(spark, root)
+    if len(found) < 2:
+        raise ValueError("there is no generation before")
+    at, fs = _fs(spark, f"{root}/published/{found[-1][0]:010d}")
+    fs.delete(at, False)
+    at, fs = _fs(spark, f"{root}/generations/{found[-1][1]}")
+    fs.delete(at, True)
+    return found[-2][1]
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    generation = spark.read.schema("generation string").json(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/generations/{generation}/{name}")
+    found = generations(spark, root)
+    if not found:
+        raise ValueError(f"nothing is published in {root}")
+    return spark.read.parquet(f"{root}/generations/{found[-1][1]}/{name}")
 
 
 def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    write_text(spark, json.dumps(manifest, sort_keys=True), path)
 
 
 def load_manifest(spark: SparkSession, path: str) -> dict:
     """A manifest with every key it must have and at least one slice."""
-    m = json.loads("".join(r.value for r in spark.read.text(path).collect()))
+    m = json.loads(read_text(spark, path))
     if missing := [k for k in MANIFEST_KEYS if k not in m]:
         raise ValueError(f"manifest lacks {missing}")
     if not m["slices"] or m["window_alignment"] != "right":
@@ -191,6 +265,13 @@ def source_files(edges: DataFrame) -> DataFrame:
     return m.distinct().toDF("path", "size", "modified")
 
 
+def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, change): files of a source that are new, gone, or of another size or time than `before`, a table of source_files."""
+    a, b = now.select("path", F.struct("size", "modified").alias("a")), before.select("path", F.struct("size", "modified").alias("b"))
+    change = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(F.col("a") != F.col("b"), "other")
+    return a.join(b, "path", "full").select("path", change.alias("change")).where("change is not null")
+
+
 def check_mappings(nodes: DataFrame, mapping: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes without a row in the (original_id, dense_id) mapping; rows of (step, slice_index) that break 1, 2, ..."""
     missing = nodes.select(F.col("node").alias("original_id")).distinct().join(mapping, "original_id", "left_anti")

@@ -137,7 +137,7 @@ def test_search_layers(spark):
     q = spark.createDataFrame([(1, 3, 0)], "query long, k int, t int")
     seen, layers = communities.threshold_bfs(q, e, pred)
     assert {r.node for r in seen.where("inside").collect()} == {1, 2} and seen.count() == 3 and layers.first().layers == 3
-    own = {r.node: r.component_id for r in communities.cumulative_components(pred, e, 3, 0).collect()}
+    own = {r.node: r.component_id for r in communities.cumulative_components(pred, e, (3,)).where("t = 0").collect()}
     assert own == {1: 1, 2: 1, 4: 4, 5: 4}
 
 

@@ -2,10 +2,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from chronoweave.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["snapshot_edges", "kcore_components", "structure", "windows", "src_standardise", "cohort", "persistence_predictions", "edge_history"]
+GRAPH = sorted(registry.SQL)
 
 
 def rows(names, table):
@@ -14,7 +15,7 @@ def rows(names, table):
     return sorted(tuple(text(r[i]) for i in order) for r in table)
 
 
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.parametrize("name", GRAPH)
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
