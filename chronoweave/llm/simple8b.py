@@ -40,19 +40,19 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     full = np.zeros(blocks * block, np.uint64)
     full[:n] = v
-    width = _widths(full)
-    flat, most = np.full(blocks * block, ESCAPE, np.uint8), int(width.max())
-    for s in range(14, 0, -1):  # the largest count that fits wins
-        if most <= BITS[s]:
-            flat[:] = s
-            continue
-        fits = np.flatnonzero(width <= BITS[s])
-        if not len(fits):
+    # the greatest width of the next COUNTS[s] values of a block, from that of fewer; the largest count that fits wins
+    most = np.zeros((blocks, block + 64), np.uint8)
+    most[:, :block] = _widths(full).reshape(blocks, block)
+    choice = np.full((blocks, block), ESCAPE, np.uint8)
+    for s in range(14, 0, -1):
+        more = COUNTS[s] - COUNTS[s + 1]
+        if more:
+            most = np.maximum(most[:, : most.shape[1] - more], most[:, more:])
+        fits = most[:, :block] <= BITS[s]
+        if s < 14 and not fits.any():
             break
-        cut = np.flatnonzero((np.diff(fits) != 1) | (fits[1:] % block == 0))
-        last = np.append(fits[cut], fits[-1]) + 1
-        stop = np.repeat(last, np.diff(np.concatenate([[-1], cut, [len(fits) - 1]])))
-        flat[fits[(stop - fits >= COUNTS[s]) | (stop % block == 0)]] = s
+        np.copyto(choice, s, where=fits)
+    flat = choice.ravel()
     # all blocks step from word to word together
     base, pos = np.arange(blocks, dtype=np.int64) * block, np.zeros(blocks, np.int64)
     is_start = np.zeros(blocks * block, bool)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,9 +31,20 @@ BY_PARTS = {
 }
 
 
+# plain text, which such steps lower letter by letter and cut between letters, digits and signs: no apostrophe, which may
+# belong to the letters after it, and no sign under 33 but space and newline
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
+_ODD = re.compile(f"[^ \n0-9{_LETTERS}{_SIGNS}]")
+_ODD_PART = re.compile(f"(?<![^ \n])[^ \n]*{_ODD.pattern}[^ \n]*")
+_TOKENS = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+")
+_WORD = re.compile(f"[{_LETTERS}]+")
+
+
 class Encoder:
     """The library's encoder of one tokenizer file. Texts are encoded whole, or, where the file's own steps
-    drop white space and cut there (and no added token holds any), part by part, each different part once."""
+    drop white space and cut there, piece by piece, each different piece once: plain parts between
+    spaces in words, digits and signs, others as they are. Words are encoded many in a text: of a
+    vocabulary that marks the ends of words, the ids tell where each one ends."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,24 +52,49 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         steps = json.loads(self.library.to_str())
-        self.by_parts = all(steps[k] == v for k, v in BY_PARTS.items()) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in steps["added_tokens"])
-        self.parts: dict[str, bytes] = {"": b""}
+        mark = steps["model"].get("end_of_word_suffix")
+        held = [t for t in steps["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] or not _ODD.search(t["content"])]
+        self.by_parts = bool(mark) and not held and all(steps[k] == v for k, v in BY_PARTS.items())
+        self.known: dict[str, bytes] = {}
+        if self.by_parts:
+            vocabulary = self.library.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: set[str]) -> None:
+        words = list(filter(_WORD.fullmatch, pieces))
+        if words:
+            ids = self._ids([" ".join(words)])[0]
+            ends = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            self.known.update(zip(words, [ids[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = list(pieces.difference(words))
+        self.known.update(zip(rest, self._ids(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_parts:
             return self._ids(texts)
-        known = self.parts
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(known))
-        known.update(zip(new, self._ids(new), strict=True))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        if len(self.known) > CACHE:
+            self.known = {}
+        cut = [pieces(t) for t in texts]
+        self._learn(set().union(*cut).difference(self.known))
+        of = self.known.__getitem__
+        return [b"".join(map(of, c)) for c in cut]
+
+
+def pieces(text: str) -> list[str]:
+    """The text without white space, in lower case but for parts that aren't plain."""
+    if not _ODD.search(text):
+        return _TOKENS.findall(text.lower())
+    out, at = [], 0
+    for m in _ODD_PART.finditer(text):
+        out += _TOKENS.findall(text[at : m.start()].lower())
+        out.append(m[0])
+        at = m.end()
+    return out + _TOKENS.findall(text[at:].lower())
 
 
 _ENCODERS: dict[str, Encoder] = {}
