@@ -125,17 +125,16 @@ def chains(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees: each row answers the one before it, by turn,
     then role and text where turns are equal. A row scores the length of its text and one.
 
-    A conversation might have ended at any turn: beside each row but the first stands a leaf without
-    text, an end, which scores -1. So there are as many root-to-leaf paths as rows, and the ranking
-    finds the one that goes through all of them.
+    A conversation might have ended a turn before: beside its last row stands a leaf without text, an
+    end, which scores -1. So each tree branches there, and the ranking finds the path through all rows.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order).cast("long"))
-    tree, parent = F.col("conv_id").cast("long").alias("tree"), F.when(F.col("n") > 1, 2 * F.col("n") - 2).alias("parent")
-    own = rows.select(tree, (2 * F.col("n")).alias("node"), parent, (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("score"), "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order).cast("long")).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
     none = F.lit(None).cast("string")
-    ends = rows.where("n > 1").select(tree, (2 * F.col("n") + 1).alias("node"), parent, F.lit(-1).alias("score"), none.alias("role"), none.alias("text"))
-    return own.union(ends)
+    own = F.struct((2 * F.col("n")).alias("node"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("score"), "role", "text")
+    end = F.struct((2 * F.col("n") + 1).alias("node"), F.lit(-1).alias("score"), none.alias("role"), none.alias("text"))
+    rows = rows.withColumn("x", F.explode(F.when(F.col("last") & (F.col("n") > 1), F.array(own, end)).otherwise(F.array(own))))
+    return rows.select(F.col("conv_id").cast("long").alias("tree"), "x.node", F.when(F.col("n") > 1, 2 * F.col("n") - 2).alias("parent"), "x.score", "x.role", "x.text")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
