@@ -20,6 +20,40 @@ def read_edges_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EDGE_SCHEMA).option("enforceSchema", "false").csv(path, header=True, mode="FAILFAST")
 
 
+def read_slices(spark: SparkSession, root: str) -> DataFrame:
+    """(t, u, v, ts) of a folder with a file of edges for each slice, numbered by the digits of its name."""
+    rows = spark.read.schema(EDGE_SCHEMA).option("enforceSchema", "false").csv(root, header=True, mode="FAILFAST")
+    return rows.select(F.regexp_extract("_metadata.file_name", r"(\d+)[^0-9]*$", 1).cast("int").alias("t"), "u", "v", "ts")
+
+
+def load_edges(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame:
+    """(t, u, v, ts) of a store of slices: files of their own, or one log that the manifest's slices cut."""
+    if manifest is None:
+        return read_slices(spark, path)
+    slices = spark.createDataFrame([(k, s["start_ts"], s["end_ts"]) for k, s in enumerate(manifest["slices"])], "t int, start_ts long, end_ts long")
+    step, window, s0 = manifest["step_seconds"], manifest["window_seconds"], manifest["observation_end"] - manifest["window_seconds"] - (manifest["planned_slice_count"] - 1) * manifest["step_seconds"]
+    last = F.least(F.lit(manifest["planned_slice_count"] - 1), F.floor((F.col("ts") - s0) / F.lit(step)))
+    first = F.greatest(F.lit(0), F.floor((F.col("ts") - s0 - window) / F.lit(step)) + 1)
+    rows = read_edges_csv(spark, path).withColumn("first", first).withColumn("last", last).where("first <= last")
+    rows = rows.withColumn("i", F.explode(F.sequence("first", "last"))).withColumn("start_ts", F.col("i") * step + s0)
+    return rows.join(slices, "start_ts").select("t", "u", "v", "ts")
+
+
+def migrate_slices(spark: SparkSession, root: str, manifest: dict, path: str) -> DataFrame:
+    """One log, under `path`, of a folder of slices; refused if a slice doesn't hold as many edges as its manifest says, or an edge
+    is outside its slice. Edges of several slices are taken from the first of them."""
+    rows = kept(read_slices(spark, root))
+    slices = spark.createDataFrame([(k, s["start_ts"], s["end_ts"], s["edge_count"]) for k, s in enumerate(manifest["slices"])], "t int, start_ts long, end_ts long, edge_count long")
+    n = rows.join(slices.select("t", "start_ts", "end_ts"), "t", "left").groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts"))).alias("inside"))
+    wrong = slices.join(n, "t", "full").where("not (n <=> edge_count and inside <=> n)")
+    if not wrong.isEmpty():
+        raise ValueError(f"slices don't fit their manifest: {sorted(r.t for r in wrong.select('t').limit(20).collect())}")
+    before = F.lag("end_ts").over(Window.orderBy("t"))  # one row for each slice
+    new = rows.join(slices.select("t", before.alias("seen")), "t").where("seen is null or ts >= seen")
+    write_edges_csv(new.withColumn("ord", F.monotonically_increasing_id()), path)
+    return read_edges_csv(spark, path)
+
+
 def bad_records(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a log that aren't three integers."""
     lines = spark.read.text(path).where("value <> 'u,v,ts'")
@@ -29,22 +63,27 @@ def bad_records(spark: SparkSession, path: str) -> DataFrame:
 def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Raw records in file order as (ord, u, v, ts); ts may be fractional. Kinds: ml (u,i,ts), csv (u,v,ts), txt (u v ts, # comments), coin (day,src,dst,value)."""
     if kind == "ml":
-        out = spark.read.csv(path, header=True).withColumnRenamed("i", "v")
+        out = in_file_order(spark.read.csv(path, header=True)).withColumnRenamed("i", "v")
     elif kind == "csv":
-        out = spark.read.csv(path, header=True)
+        out = in_file_order(spark.read.csv(path, header=True))
     elif kind == "txt":
-        out = parse_text(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord")))
+        out = parse_text(in_file_order(spark.read.text(path)))
     elif kind == "coin":
         raw = spark.read.csv(path, header=True)
-        raw = raw.select(F.monotonically_increasing_id().alias("ord"), F.col(raw.columns[0]).alias("day"), F.col(raw.columns[1]).alias("src"), F.col(raw.columns[2]).alias("dst"))
-        return coin_edges(raw)[0]
+        names = raw.columns
+        raw = in_file_order(raw)
+        return coin_edges(raw.select("ord", F.col(names[0]).alias("day"), F.col(names[1]).alias("src"), F.col(names[2]).alias("dst")))[0]
     else:
         raise ValueError(f"unknown format {kind}")
-    if "ord" not in out.columns:
-        out = out.withColumn("ord", F.monotonically_increasing_id())
     return out.select("ord", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("ts").cast("decimal(38,9)").alias("ts"))
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """`rows` with `ord`, their order by file name and place in the file, however Spark packs files into tasks."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i")).alias("at")
+    return dense_ids(rows.select("*", at), "at", "ord").drop("at")
+
+
 def parse_text(lines: DataFrame) -> DataFrame:
     """(ord, u, v, ts) of white-space separated lines (ord, value); comments and blank lines are left out."""
     part = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from chronoweave.operators import communities, cores, samples
+from chronoweave.operators import communities, cores, evaluation, samples, snapshots
 from chronoweave.sources import edge_log
 
 
@@ -76,3 +76,54 @@ def test_threshold_is_strict_or_not(spark):
     assert {r.node for r in communities.recover_components(q, cand, scored, 0.5).collect()} == {1, 2, 3}
     assert communities.recover_components(q, cand, scored, 0.5, strict=True).count() == 0
     assert communities.recover_components(q, cand.where("node <> 1"), scored, 0.5).count() == 0
+
+
+def test_slices(spark, tmp_path):
+    """Slices as files of their own, the same cut from one log, and the log made of them again."""
+    rows = [(1, 2, 10), (1, 2, 15), (2, 3, 30), (3, 4, 31)]
+    e = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "u long, v long, ts long, ord long")
+    m = snapshots.manifest(e, "toy", 10, 20)
+    edge_log.write_edges_csv(e, f"{tmp_path}/log")
+    (tmp_path / "slices").mkdir()
+    for k, x in enumerate(m["slices"]):
+        (tmp_path / "slices" / f"slice_{k:06d}.csv").write_text("u,v,ts\n" + "".join(f"{u},{v},{t}\n" for u, v, t in rows if x["start_ts"] <= t < x["end_ts"]))
+    files = sorted(map(tuple, edge_log.load_edges(spark, f"{tmp_path}/slices").collect()))
+    assert files == sorted(map(tuple, edge_log.load_edges(spark, f"{tmp_path}/log", m).collect())) and len(files) == m["written_edge_count"]
+    again = edge_log.migrate_slices(spark, f"{tmp_path}/slices", m, f"{tmp_path}/again")
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
+    m["slices"][1]["edge_count"] += 1
+    with pytest.raises(ValueError):
+        edge_log.migrate_slices(spark, f"{tmp_path}/slices", m, f"{tmp_path}/never")
+
+
+def test_file_order(spark, tmp_path):
+    """Records of several files are numbered by file and place, whatever the files' sizes."""
+    sizes = {"a.csv": 50, "b.csv": 3000, "c.csv": 2}
+    at = 0
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("u,v,ts\n" + "".join(f"{at + i},{at + i + 1},{i}\n" for i in range(n)))
+        at += n
+    got = edge_log.read_raw(spark, str(tmp_path), "csv").orderBy("ord").collect()
+    assert [r.u for r in got] == list(range(at)) and [r.ord for r in got] == list(range(at))
+
+
+def test_kept_tables_know_what_they_are(spark, tmp_path):
+    made = []
+
+    def make(n):
+        return lambda: made.append(n) or spark.range(n)
+
+    for n, model in ((3, "a"), (4, "a"), (5, "b")):
+        df = evaluation.cached(spark, f"{tmp_path}/t=1", {"model": model, "t": 1}, make(n))
+    assert made == [3, 5] and df.count() == 5
+    rows, table = spark.range(2), spark.createDataFrame([(0, 1, "h1", 2, 0.5)] * 3, "t int, node long, block string, bucket int, share double")
+    features, structure = evaluation.feature_store(spark, f"{tmp_path}/f", {"x": 1}, rows, table)
+    assert features.count() == 2 and structure.count() == 1
+
+
+def test_incremental_candidates(spark):
+    kcore = spark.createDataFrame([(0, 3, 1, n) for n in (1, 2, 3)] + [(1, 3, 1, n) for n in (1, 4)] + [(1, 3, 5, n) for n in (5, 6)], "t int, k int, component_id long, node long")
+    index, queries = spark.createDataFrame([], "query long, k int, node long"), spark.createDataFrame([(1, 3), (9, 3)], "query long, k int")
+    for t, want in ((0, {1, 2, 3}), (1, {1, 2, 3, 4})):
+        index = communities.extend_index(index, queries, kcore, t)
+        assert [r.node for r in index.orderBy("node").collect()] == sorted(want)
