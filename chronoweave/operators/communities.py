@@ -26,15 +26,18 @@ def candidate_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(query, k, t, u, v, first_t): edges met up to t between candidates."""
     hist = edge_history(edges)
     key = ["query", "k", "t"]
+    # sets that overlap compress well on disk: their files' size says nothing about their rows, so nothing here is broadcast by it
+    found = found.hint("merge")
     one = found.select(*key, F.col("node").alias("u")).join(hist, "u").where("first_t <= t")
     return one.join(found.select(*key, F.col("node").alias("v")), [*key, "v"]).select(*key, "u", "v", "first_t")
 
 
 def recency_score(pairs: DataFrame, edges: DataFrame, decay: float = 0.5) -> DataFrame:
     """`pairs` with `score`: 1 - decay^x, x the sum of decay^(t - s) over snapshots s <= t with the edge. The built-in scorer; any other takes its place."""
+    at = pairs.select("t", "u", "v").distinct()  # a pair's score is the same for every query of a time
     met = edges.select("u", "v", F.col("t").alias("at"))
-    w = pairs.join(met, ["u", "v"]).where("at <= t").groupBy("query", "k", "t", "u", "v").agg(F.sum(F.pow(F.lit(decay), F.col("t") - F.col("at"))).alias("x"))
-    return pairs.join(w, ["query", "k", "t", "u", "v"]).withColumn("score", 1 - F.pow(F.lit(decay), F.col("x"))).drop("x")
+    w = at.join(met, ["u", "v"]).where("at <= t").groupBy("t", "u", "v").agg(F.sum(F.pow(F.lit(decay), F.col("t") - F.col("at"))).alias("x"))
+    return pairs.hint("merge").join(w, ["t", "u", "v"]).withColumn("score", 1 - F.pow(F.lit(decay), F.col("x"))).select(*pairs.columns, "score")
 
 
 def over(score: Column, threshold: float, strict: bool) -> Column:
@@ -87,10 +90,18 @@ def peeled_parts(kept_edges: DataFrame) -> DataFrame:
 
 
 def link_communities(queries: DataFrame, kcore: DataFrame, edges: DataFrame, threshold: float = 0.5, strict: bool = False, scorer: Callable[[DataFrame, DataFrame], DataFrame] = recency_score) -> DataFrame:
-    """(query, k, t, node): candidates, their past edges, scores, threshold, peel; once for each distinct candidate set."""
+    """(query, k, t, node): candidates, their past edges, scores, threshold, peel; once for each distinct candidate set.
+
+    Edges are scored once for each time, not for each set, and only those that reach the threshold are dealt to the sets.
+    """
     of, sets = candidate_sets(queries, kcore)
-    scored = scorer(candidate_edges(sets, edges), edges)
-    parts = peeled_parts(scored.where(over(F.col("score"), threshold, strict))).withColumnRenamed("query", "set_id")
+    times = sorted(r.t for r in queries.select("t").distinct().collect())  # query times
+    met = edge_history(edges).withColumn("t", F.explode(F.array(*map(F.lit, times)).cast("array<int>"))).where("first_t <= t")
+    pairs = met.select(F.lit(0).cast("long").alias("query"), F.lit(0).alias("k"), "t", "u", "v", "first_t")
+    linked = kept(scorer(pairs, edges).where(over(F.col("score"), threshold, strict)).select("t", "u", "v"))
+    sets = kept(sets)
+    inside = linked.join(sets.withColumnRenamed("node", "u").hint("merge"), ["t", "u"]).join(sets.withColumnRenamed("node", "v").hint("merge"), ["query", "k", "t", "v"])
+    parts = peeled_parts(inside).withColumnRenamed("query", "set_id")
     key = ["set_id", "k", "t"]
     own = of.join(parts.withColumnRenamed("node", "query"), [*key, "query"])
     return own.join(parts, [*key, "component_id"]).select("query", "k", "t", "node")

@@ -95,15 +95,23 @@ class Graph:
         return _kept(communities.threshold_bfs(self.cohort, self.edges, self.core.withColumnRenamed("core", "pred"))[0])
 
     @cached_property
+    def _influence_pass(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Answers after every snapshot, and state and norms after the last, from one pass."""
+        rows = state = norms = None
+        for t, state, norms in influence.stream(self.edges, list(range(self.n))):
+            now = influence.top_answers(state).select(F.lit(t).alias("t"), "src", "node", "time", "score", "weight")
+            rows = now if rows is None else rows.union(now)
+        return _kept(rows, by="t"), state, norms
+
+    @property
     def all_answers(self) -> DataFrame:
-        """(t, src, node, time, score, weight): answers of every source after every snapshot, from one pass."""
-        return _kept(influence.answers_at(self.edges, None, list(range(self.n))), by="t")
+        """(t, src, node, time, score, weight): answers of every source after every snapshot."""
+        return self._influence_pass[0]
 
-    @cached_property
+    @property
     def influences(self) -> tuple[DataFrame, DataFrame]:
         """State and norms after the last snapshot."""
-        *_, last = influence.stream(self.edges, list(range(self.n)))
-        return last[1], last[2]
+        return self._influence_pass[1:]
 
     @cached_property
     def merged(self) -> DataFrame:
