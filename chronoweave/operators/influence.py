@@ -61,9 +61,9 @@ def answers_at(edges: DataFrame, queries: DataFrame | None, times: list[int], fi
         if t in wanted:
             if queries is not None:
                 state = state.join(queries.where(F.col("t") == t).select("src").distinct(), "src", "left_semi")
-            rows = top_answers(state, first).select(F.lit(t).alias("t"), "src", "node", "time", "score", "weight")
-            out = rows if out is None else out.union(rows)
-    return out
+            now = state.select(F.lit(t).alias("t"), "src", "node", "time", "score")
+            out = now if out is None else out.union(now)
+    return top_answers(out, first, ("t", "src"))
 
 
 def log_ages(answers: DataFrame) -> DataFrame:
@@ -71,10 +71,10 @@ def log_ages(answers: DataFrame) -> DataFrame:
     return answers.withColumn("age", F.log1p((F.col("t") - F.col("time")).cast("double")))
 
 
-def top_answers(state: DataFrame, first: int = 20) -> DataFrame:
-    """(src, node, time, score, weight): the first entries of each source; weights are their shares."""
-    rows = state.withColumn("r", F.row_number().over(_rank("src"))).where(F.col("r") <= first)
-    return rows.withColumn("weight", F.col("score") / F.sum("score").over(Window.partitionBy("src"))).drop("r")
+def top_answers(state: DataFrame, first: int = 20, by: tuple[str, ...] = ("src",)) -> DataFrame:
+    """(*by, node, time, score, weight): the first entries of each source; weights are their shares."""
+    rows = state.withColumn("r", F.row_number().over(_rank(*by))).where(F.col("r") <= first)
+    return rows.withColumn("weight", F.col("score") / F.sum("score").over(Window.partitionBy(*by))).drop("r")
 
 
 def merged_scores(answers: DataFrame) -> DataFrame:

@@ -99,9 +99,9 @@ class Graph:
         """Answers after every snapshot, and state and norms after the last, from one pass."""
         rows = state = norms = None
         for t, state, norms in influence.stream(self.edges, list(range(self.n))):
-            now = influence.top_answers(state).select(F.lit(t).alias("t"), "src", "node", "time", "score", "weight")
+            now = state.select(F.lit(t).alias("t"), "src", "node", "time", "score")
             rows = now if rows is None else rows.union(now)
-        return _kept(rows, by="t"), state, norms
+        return _kept(influence.top_answers(rows, by=("t", "src")), by="t"), state, norms
 
     @property
     def all_answers(self) -> DataFrame:
