@@ -90,8 +90,8 @@ def shingles(words: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.nda
     out = np.zeros(len(at), np.uint64)
     out[~short] = x[at[~short]]
     for i in np.flatnonzero((count < n) & (count > 0)):
-        h = np.uint64(count[i])
+        h = np.array([count[i]], np.uint64)
         for w in words[offsets[i] : offsets[i + 1]]:
-            h = (h * GOLD + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
-        out[out_offsets[i]] = h
+            h = h * GOLD + w
+        out[out_offsets[i]] = h[0]
     return mix(out), out_offsets
