@@ -23,17 +23,23 @@ def running(rows: DataFrame, order: str, *values: str, ascending: bool = True) -
     return part.select(*rows.columns, *((F.col(f"base_{v}") + F.col(f"in_{v}")).alias(f"before_{v}") for v in values))
 
 
-def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
+def by_score(rows: DataFrame, score: str, label: str, times: str | None = None) -> DataFrame:
+    """(s, n, p): rows and true rows of each score; `times` names a column of how many rows a row stands for."""
+    one = F.col(times) if times else F.lit(1).cast("long")
+    return rows.groupBy(F.col(score).alias("s")).agg(F.sum(one).alias("n"), F.coalesce(F.sum(F.when(F.col(label), one)), F.lit(0)).alias("p"))
+
+
+def auc(rows: DataFrame, score: str, label: str, times: str | None = None) -> DataFrame:
     """(auc) of yes-or-no labels by sums of mean ranks; null if a label is missing. Rows are counted by score first."""
-    n = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("p"))
+    n = by_score(rows, score, label, times)
     n = running(n, "s", "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     t = n.agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), F.sum(F.col("rank") * F.col("p")).alias("r"))
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
-def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
+def average_precision(rows: DataFrame, score: str, label: str, times: str | None = None) -> DataFrame:
     """(ap): precision at each score that adds true rows, weighted by how many; equal scores are taken together."""
-    n = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("p"))
+    n = by_score(rows, score, label, times)
     n = running(n, "s", "n", "p", ascending=False)
     n = n.select("p", ((F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))).alias("precision"))
     return n.agg((F.sum(F.col("p") * F.col("precision")) / F.sum("p")).alias("ap"))

@@ -794,19 +794,19 @@ LINKED = "(SELECT sc.query, sc.k, sc.t, sc.u, sc.v, round(score, 9) AS score, s.
 
 
 def _linked(g: Graph) -> DataFrame:
-    after = g.edges.select((F.col("t") - 1).alias("t"), "u", "v", F.lit(True).alias("hit"))
-    rows = g.scored.join(after, ["t", "u", "v"], "left")
-    return rows.select(F.round("score", 9).alias("score"), F.col("hit").isNotNull().alias("linked"))
+    """(score, linked, queries): scored edges, and whether they are in the next snapshot; a row stands for all queries of its mask."""
+    rows = communities.by_mask(*g.scored_pairs)
+    return rows.select(F.round("score", 9).alias("score"), F.array_contains("met", F.col("t") + 1).alias("linked"), F.bit_count("mask").alias("queries"))
 
 
 @query("link_auc", f"SELECT round((sum(r) FILTER (linked) - count(*) FILTER (linked) * (count(*) FILTER (linked) + 1) / 2) / (count(*) FILTER (linked) * count(*) FILTER (NOT linked)), 6) AS auc FROM (SELECT linked, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM {LINKED})", "sc s")
 def _(g):
-    return ranking.auc(_linked(g), "score", "linked").select(r6("auc").alias("auc"))
+    return ranking.auc(_linked(g), "score", "linked", "queries").select(r6("auc").alias("auc"))
 
 
 @query("link_average_precision", f"SELECT round(sum(p * pp / nn) / sum(p), 6) AS ap FROM (SELECT p, sum(p) OVER (ORDER BY score DESC) AS pp, sum(n) OVER (ORDER BY score DESC) AS nn FROM (SELECT score, count(*) AS n, count(*) FILTER (linked) AS p FROM {LINKED} GROUP BY 1))", "sc s")
 def _(g):
-    return ranking.average_precision(_linked(g), "score", "linked").select(r6("ap").alias("ap"))
+    return ranking.average_precision(_linked(g), "score", "linked", "queries").select(r6("ap").alias("ap"))
 
 
 @query("pair_scores", "SELECT s.t, a.node AS u, b.node AS v, round(1 / (1 + exp(-(0.2 * greatest(0.1 * a.degree - 0.3 * b.core + 0.05, 0) - 0.15 * greatest(0.25 * a.h1 + 0.2 * b.h1 - 1, 0)))), 6) AS score FROM s JOIN ns a ON a.t = s.t AND a.node = s.u JOIN ns b ON b.t = s.t AND b.node = s.v", "s ns")
