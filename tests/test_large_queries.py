@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry_points
 from chronoweave.functions import ranking
-from chronoweave.operators import communities
+from chronoweave.operators import communities, influence
 from chronoweave.plans.base import graph
 from tests.test_whole_queries import by_sql
 
@@ -25,3 +25,19 @@ def test_rows_that_stand_for_many(spark):
     each = rows.selectExpr("s", "y", "explode(sequence(1L, n)) AS i")
     for f in (ranking.auc, ranking.average_precision):
         assert f(rows, "s", "y", "n").first()[0] == f(each, "s", "y").first()[0] is not None
+
+
+def test_exact_walks_in_one_pass_equal_joins(spark):
+    g = graph(spark, DIR)
+    nodes = g.nodes.select("node").distinct()
+    of = lambda df: {(r.src, r.node, r.time): r.score for r in df.collect()}
+    for top in (None, 20):
+        got, want = (of(influence.exact(g.edges, nodes, 12, top=top, walk_edges=most)) for most in (10**9, 0))
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-14 for x in want)
+    # a hub, and a source without edges
+    star = spark.createDataFrame([(t, 0, v) for t in (0, 1) for v in range(1, 150 + t)], "t int, u long, v long")
+    ends = spark.createDataFrame([(0,), (7,), (999,)], "node long")
+    got, want = (of(influence.exact(star, ends, 1, walk_edges=most)) for most in (10**9, 0))
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-14 for x in want)
+    plan = influence.exact(g.edges, nodes, 12)._jdf.queryExecution().toString()
+    assert "Join" not in plan  # no table of walks is written or shuffled
