@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry_points
 from chronoweave.functions import ranking
-from chronoweave.operators import communities, influence
+from chronoweave.operators import communities, edge_generation, influence
 from chronoweave.plans.base import graph
 from tests.test_whole_queries import by_sql
 
@@ -41,3 +41,16 @@ def test_exact_walks_in_one_pass_equal_joins(spark):
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-14 for x in want)
     plan = influence.exact(g.edges, nodes, 12)._jdf.queryExecution().toString()
     assert "Join" not in plan  # no table of walks is written or shuffled
+
+
+def test_queries_share_what_they_search(spark):
+    g = graph(spark, DIR)
+    pred = g.core.withColumnRenamed("core", "pred")
+    lone = spark.createDataFrame([(10**9, 3, g.n - 2)], "query long, k int, t int")  # a query that was never met
+    of, found = communities.searched_parts(g.cohort.select("query", "k", "t").union(lone), g.edges, pred)
+    got = communities.dealt_parts(of, found)
+    want = communities.threshold_bfs(g.cohort.select("query", "k", "t").union(lone), g.edges, pred)[0].select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert found.count() < got.count()
+    each = edge_generation.generate_edges(g.searched.where("inside").select("query", "k", "t", "node", "pred"), g.merged)
+    assert sorted(map(str, g.generated.select(each.columns).collect())) == sorted(map(str, each.collect()))
