@@ -49,6 +49,37 @@ def test_exact_walks_in_one_pass_equal_joins(spark):
     assert "Join" not in plan  # no table of walks is written or shuffled
 
 
+def test_walks_for_the_first_entries_end_early():
+    rng = np.random.default_rng(3)
+    n, times = 2_000, 60
+    norm, ahead, walks = np.zeros(n), influence._Ahead(n), []
+    for t in range(times):
+        ends = rng.integers(0, n if t < times - 1 else n // 2, (2, 4 * n))  # half of the nodes aren't in the last snapshot
+        ends = np.unique(np.sort(ends[:, ends[0] != ends[1]], axis=0), axis=1)
+        w = influence._Walk(t, *ends, norm, influence.ALPHA, influence.BETA)
+        w.each, w.all = ahead.bounds()
+        ahead.add(w)
+        walks.append(w)
+    src, read, ids = np.array([0, 5, 700, 1_500, 1_999]), [], np.arange(n)
+    got = influence._walk_top((read.append(w.time) or w for w in reversed(walks)), ids, src, influence.ALPHA, 20)
+    assert len(read) < 15  # all 60 before
+    want, mass = np.zeros(0, got.dtype), np.zeros((n, len(src)))
+    mass[src, np.arange(len(src))] = 1.0
+    left = []  # masses after each snapshot
+    for w in reversed(walks):
+        came = w.step(mass) * influence.ALPHA
+        i, j = np.nonzero(came)
+        more = np.zeros(len(i), got.dtype)
+        more["src"], more["time"], more["node"], more["score"] = src[j], w.time, w.nodes[i], came[i, j]
+        more["r"] = np.floor(more["score"] * 1e14 + 0.5) / 1e14
+        want = influence._best(want, more, 20)
+        for each, all_, before in left:  # what the bounds said of what is before them
+            for c in range(len(src)):
+                assert came[:, c].max() <= influence.ALPHA * min(before[:, c] @ each, before[:, c].max() * all_)
+        left.append((w.each, w.all, mass.copy()))
+    assert all((got[c] == want[c]).all() for c in ("src", "time", "node")) and abs(got["score"] - want["score"]).max() < 1e-15
+
+
 def test_queries_share_what_they_search(spark):
     g = graph(spark, DIR)
     pred = g.core.withColumnRenamed("core", "pred")
